@@ -74,13 +74,13 @@ class MergeReplay:
             if where is None:
                 continue
             where.sort()
-            for p in where:
+            for k, p in enumerate(where):
                 n = after[p]
                 if n < 0 or token[p] < 0 or pairs.get((token[p], token[n])) != rank:
                     continue  # an earlier merge took one of the two
                 token[p], token[n] = rank, -1
                 n = after[p] = after[n]
-                touched = []
+                touched, lower = [], False
                 if n >= 0:
                     before[n] = p
                     touched.append((p, n))
@@ -93,6 +93,12 @@ class MergeReplay:
                         else:
                             index[r] = [a]
                             heappush(heap, r)
+                        lower = lower or r < rank
+                if lower:  # a token that has several splits: its merge comes before what is left of this one
+                    if rank not in index:
+                        heappush(heap, rank)
+                    index.setdefault(rank, []).extend(where[k + 1 :])
+                    break
         for i, s in starts:
             ids = []
             while s >= 0:
