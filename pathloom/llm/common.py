@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,11 @@ class Scratch:
             if t is not None and (path := getattr(t, "_scratch_path", None)):
                 _delete(self.spark, path)
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of plans that are done: it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def wide_hash(*cols) -> tuple:
     """Two independent 64-bit hashes, for use as one 128-bit key."""

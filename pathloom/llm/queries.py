@@ -36,7 +36,19 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_bpe, op5_line_dedup, op6_license_scan)}
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_bpe, op5_line_dedup, op6_license_scan, op7_near_dup, op10_substring_dedup)}
 
 ORACLES = {
     "op5_line_dedup": """
