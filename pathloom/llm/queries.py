@@ -42,13 +42,26 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm.substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_bpe, op5_line_dedup, op6_license_scan, op7_near_dup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_bpe, op5_line_dedup, op6_license_scan, op7_near_dup, op8_toxicity, op9_decontamination, op10_substring_dedup)}
 
 ORACLES = {
     "op5_line_dedup": """
