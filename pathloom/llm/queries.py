@@ -23,6 +23,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm.line_dedup import drop_lines
 
@@ -61,7 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_bpe, op5_line_dedup, op6_license_scan, op7_near_dup, op8_toxicity, op9_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_bpe, op4_ann, op5_line_dedup, op6_license_scan, op7_near_dup, op8_toxicity, op9_decontamination, op10_substring_dedup)}
 
 ORACLES = {
     "op5_line_dedup": """
