@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
@@ -154,12 +155,10 @@ def encode_table(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bool =
     """
     with open(rank_path, "rb") as f:
         ranks = f.read()
-    fresh = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
-    if keep_ids:
-        fresh.append(("token_ids", "array<int>", pa.list_(pa.int32())))
-    docs = docs.drop(*(n for n, _, _ in fresh))
+    fresh = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *[("token_ids", "array<int>")] * keep_ids]
+    docs = docs.drop(*(n for n, _ in fresh))
     schema = extended(docs, fresh)
-    at, names = docs.columns.index("text"), [*docs.columns, *(n for n, _, _ in fresh)]
+    at, names = docs.columns.index("text"), [*docs.columns, *(n for n, _ in fresh)]
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +179,12 @@ def encode_table(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bool =
                     sums.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                     if keep_ids:
-                        kept.append(pa.array(ids, pa.int32()).tolist())
-                cols = [counts, sums, back] + [kept] * keep_ids
-                part = batch.slice(done, n)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, (_, _, t) in zip(cols, fresh, strict=True))], names)
+                        kept.append(pa.array(ids, pa.int32()))
+                cols = [pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())]
+                if keep_ids:
+                    ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
+                    cols.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(kept)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(done, n).columns, *cols], names)
                 done += n
 
     return docs.mapInArrow(run, schema)

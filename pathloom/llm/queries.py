@@ -14,6 +14,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents")).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages")).withColumn("words", F.array_join("words", " "))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +73,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_bpe, op4_ann, op5_line_dedup, op6_license_scan, op7_near_dup, op8_toxicity, op9_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_bpe, op4_ann, op5_line_dedup, op6_license_scan, op7_near_dup, op8_toxicity, op9_decontamination, op10_substring_dedup)}
 
 ORACLES = {
     "op5_line_dedup": """
