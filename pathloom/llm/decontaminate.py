@@ -28,23 +28,27 @@ MIN_PLAIN = 4
 MIN_MATCHED = 3
 #: Bits of the filter of benchmark windows that goes to every task.
 FILTER_BITS = 1 << 24
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_000_000
 UNITS = frozenset("%|°|°c|°f|$|€|£|cm|mm|km|m|meters|metres|meter|metre|miles|mile|feet|foot|ft|inches|inch|in.|yards|yard|kg|g|mg|grams|gram|kilograms|kilogram|lbs|lb|pounds|pound|ounces|ounce|oz|tons|ton|l|ml|liters|litres|liter|litre|gallons|gallon|s|sec|seconds|second|min|minutes|minute|h|hours|hour|days|day|weeks|week|months|month|years|year|dollars|dollar|cents|cent|euros|euro|usd|eur|percent|degrees|degree|mph|kmh|km/h|hz|khz|mhz|ghz|kb|mb|gb|tb|watts|volts|joules".split("|"))
 _NUMBER = re.compile(r"[$€£#+-]?\d+(?:[.,:/]\d+)*(?:%|st|nd|rd|th|[a-z]{1,3})?")
 _SPELLED = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 _EDGE = re.compile(r"^[^\w$€£#%°+-]+|[^\w%°]+$")
 _HASH = {kind: xxhash.xxh3_64_intdigest(f"\x00{kind}") for kind in ("number", "unit", "name")}
+#: Multipliers of a window's second hash, by place.
+_POWERS = np.cumprod(np.full(WINDOW, SECOND, U))
 PLAIN, NUMBER, UNIT, CAPITAL, EMPTY = range(5)
 
 
 def _classify(word: str) -> tuple[int, int, bool]:
     """(kind, template hash, whether a sentence ends with it) of a word as it stands."""
-    ends = word[-1] in ".!?:" or word[-2:] in ('."', '!"', '?"', ".)")
-    core = _EDGE.sub("", word)
+    if word.isalpha():  # most words, and quick to tell
+        core, ends = word, False
+    else:
+        core, ends = _EDGE.sub("", word), word[-1] in ".!?:" or word[-2:] in ('."', '!"', '?"', ".)")
     low = core.lower()
     if not core:
         return EMPTY, 0, ends
-    if _NUMBER.fullmatch(low) or low in _SPELLED:
+    if low in _SPELLED or not core.isalpha() and _NUMBER.fullmatch(low):
         return NUMBER, _HASH["number"], ends
     if low in UNITS:
         return UNIT, _HASH["unit"], ends
@@ -52,14 +56,24 @@ def _classify(word: str) -> tuple[int, int, bool]:
     return CAPITAL if capital else PLAIN, xxhash.xxh3_64_intdigest(low), ends
 
 
-class Templates:
-    """Texts as template hashes; one for each task, for it remembers words."""
+class Templates(dict):
+    """Texts as template hashes; one for each task, for it remembers words: word -> its place in the columns below."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.kinds: list[int] = []
-        self.hashes: list[int] = []
-        self.ends: list[bool] = []
+        super().__init__()
+        self._room(1 << 16)
+
+    def _room(self, n: int) -> None:
+        self.clear()
+        self.kinds, self.hashes, self.ends = np.zeros(n, np.int8), np.zeros(n, U), np.zeros(n, bool)
+
+    def __missing__(self, word: str) -> int:
+        i = len(self)
+        if i == len(self.kinds):
+            self.kinds, self.hashes, self.ends = (np.concatenate([c, np.zeros_like(c)]) for c in (self.kinds, self.hashes, self.ends))
+        self.kinds[i], self.hashes[i], self.ends[i] = _classify(word)
+        self[word] = i
+        return i
 
     def of(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(words, template hash of each, whether each is plain); words without letters, digits or signs are left out.
@@ -67,35 +81,36 @@ class Templates:
         A capitalised word is a name unless it begins a sentence; a word in capitals throughout is plain.
         """
         words = (text or "").split()
-        if len(self.memo) > MEMO_WORDS:
-            self.__init__()
-        memo = self.memo
-        for w in set(words):
-            if w not in memo:
-                memo[w] = len(self.kinds)
-                for at, x in zip((self.kinds, self.hashes, self.ends), _classify(w), strict=True):
-                    at.append(x)
+        if len(self) > MEMO_WORDS:
+            self._room(1 << 16)
         n = len(words)
-        seen = np.fromiter(map(memo.__getitem__, words), np.int64, n)
-        own, place = np.unique(seen, return_inverse=True)
-        kind, h, ends = (np.array([a[i] for i in own.tolist()], t)[place] for a, t in ((self.kinds, np.int8), (self.hashes, U), (self.ends, bool)))
+        seen = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        kind, h, ends = self.kinds[seen], self.hashes[seen], self.ends[seen]
         begins = np.concatenate(([True], ends[:-1])) if n else np.empty(0, bool)
-        name = (kind == CAPITAL) & ~begins
-        h = np.where(name, U(_HASH["name"]), h)
-        plain = (kind == PLAIN) | ((kind == CAPITAL) & begins)
+        capital = kind == CAPITAL
+        h[capital & ~begins] = U(_HASH["name"])
+        plain = (kind == PLAIN) | (capital & begins)
         if (blank := kind == EMPTY).any():
             stay = np.flatnonzero(~blank)
             words, h, plain = [words[i] for i in stay.tolist()], h[stay], plain[stay]
         return words, h, plain
 
 
-def _windows(h: np.ndarray, plain: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, first hash, second hash) of the windows of that size with enough plain words."""
+def _windows(h: np.ndarray, plain: np.ndarray, size: int, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, first hash, second hash) of the windows of that size with enough plain words; with seen, those in the filter."""
     if len(h) < size or not size:
         return np.empty(0, int), np.empty(0, U), np.empty(0, U)
-    count = np.concatenate(([0], np.cumsum(plain)))
-    at = np.flatnonzero(count[size:] - count[:-size] >= min(MIN_PLAIN, (size + 1) // 2))
-    return at, runs(h, size)[at], runs(h, size, SECOND)[at]
+    h1 = runs(h, size)
+    if seen is None:
+        at = np.arange(len(h1))
+    else:
+        at = np.flatnonzero(seen[_probes(h1)[0]])
+        at = at[seen[_probes(h1[at])[1]]]
+    inside = at[:, None] + np.arange(size)
+    use = plain[inside].sum(1) >= min(MIN_PLAIN, (size + 1) // 2)
+    at, inside = at[use], inside[use]
+    second = (h[inside] * _POWERS[:size]).sum(1, dtype=U)
+    return at, h1[at], mix(second + U(size))
 
 
 def _slots(words: list[str], plain: np.ndarray, start: int, size: int) -> list[str]:
@@ -110,18 +125,13 @@ def _window_rows(texts: DataFrame, sizes: tuple[int, ...] | None, bits=None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
-        seen = np.frombuffer(bits.value, np.uint8) if bits is not None else None
+        seen = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool) if bits is not None else None
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for ident, text in zip(batch.column(0).to_numpy(zero_copy_only=False).tolist(), batch.column(1), strict=True):
                 words, h, plain = templates.of(text.as_py())
                 for size in (min(WINDOW, len(words)),) if sizes is None else sizes:
-                    at, h1, h2 = _windows(h, plain, size)
-                    if seen is not None:
-                        use = np.ones(len(at), bool)
-                        for p in _probes(h1):
-                            use &= seen[p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1
-                        at, h1, h2 = at[use], h1[use], h2[use]
+                    at, h1, h2 = _windows(h, plain, size, seen)
                     for a, x, y in zip(at.tolist(), h1.view(np.int64).tolist(), h2.view(np.int64).tolist(), strict=True):
                         for col, v in zip(out, (ident, size, a, x, y, _slots(words, plain, a, size)), strict=True):
                             col.append(v)
@@ -132,7 +142,7 @@ def _window_rows(texts: DataFrame, sizes: tuple[int, ...] | None, bits=None) ->
 
 
 def _probes(h: np.ndarray) -> list[np.ndarray]:
-    return [(h & U(FILTER_BITS - 1)).astype(np.int64), (mix(h) & U(FILTER_BITS - 1)).astype(np.int64)]
+    return [(h & U(FILTER_BITS - 1)).view(np.int64), (h >> U(40)).view(np.int64) & FILTER_BITS - 1]
 
 
 def _filter(items: DataFrame) -> bytes:
