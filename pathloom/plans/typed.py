@@ -66,15 +66,21 @@ def _below(a: Automaton, x: Column, kind: DataType, state: int) -> Column | None
             cases.append((holds, a._next(state, moved)))  # noqa: SLF001
         if all(_node(a, F.lit(None), kind.elementType, t) is None for _, t in cases):
             return None
+        element = kind.elementType
+        if isinstance(element, StructType) and not any(a.is_accepting(t) for _, t in cases):
+            # only the fields that can match are zipped, for Catalyst doesn't prune inside a lambda
+            used = [f for f in element.fields if any(_node(a, F.lit(None), f.dataType, a.on_name(t, b'"' + f.name.encode() + b'"')) is not None for _, t in cases)]
+            if len(used) < len(element.fields):
+                x, element = F.arrays_zip(*(x.getField(f.name) for f in used)), StructType(used)
 
         def item(e: Column, i: Column) -> Column:
             tests = [i == s.index if isinstance(s, Index) else _in_slice(i, s) for _, s in asked]
-            out = _or_none(_node(a, e, kind.elementType, cases[-1][1]))
+            out = _or_none(_node(a, e, element, cases[-1][1]))
             for holds, t in reversed(cases[:-1]):
                 when = F.lit(True)
                 for test, h in zip(tests, holds, strict=True):
                     when = when & (test if h else ~test)
-                out = F.when(when, _or_none(_node(a, e, kind.elementType, t))).otherwise(out)
+                out = F.when(when, _or_none(_node(a, e, element, t))).otherwise(out)
             return out
 
         return F.flatten(F.transform(x, item))

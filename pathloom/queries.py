@@ -154,7 +154,7 @@ def _rfc(name: str, query: str, where: str, value: str = "p") -> None:
 _rfc("rfc_index_from_end", "$.lines[-1].p", "i = size - 1")
 _rfc("rfc_slice_from_end", "$.lines[-3:-1].p", "i >= size - 3 AND i < size - 1")
 _rfc("rfc_slice_backward", "$.lines[3:0:-2].n", "i IN (SELECT unnest([least(3, size - 1), least(3, size - 1) - 2])) AND i > 0", "n")
-_rfc("rfc_filter_compare", "$.lines[?@.p > 1000 && @.n <= 3].p", "p > 1000 AND n <= 3")
+_rfc("rfc_filter_compare", "$.lines[?@.p > 100 && @.n <= 3].p", "p > 100 AND n <= 3")
 _rfc("rfc_filter_or_not", "$.lines[?@.n == 2 || !(@.p != 7 && @.p >= 50)].p", "n = 2 OR p = 7 OR p < 50")
 _rfc("rfc_filter_exists", "$.lines[?@.p && !@.absent].n", "true", "n")
 _rfc("rfc_filter_absolute", "$.lines[?@.p < $.c].p", "p < (SELECT o_custkey FROM orders WHERE o_orderkey = o)")

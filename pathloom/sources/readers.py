@@ -23,7 +23,7 @@ def read_documents(spark: SparkSession, path: str | list[str], layout: str = "fi
     reader = spark.readStream if streaming else spark.read
     name = F.col("_metadata.file_path").alias("path")
     if layout == "file":
-        return reader.option("wholetext", True).text(path).select(name, F.col("value").alias("json"))
+        return reader.text(path, wholetext=True).select(name, F.col("value").alias("json"))
     if layout == "lines":
         return reader.text(path).where(F.length(F.trim("value", F.lit(" \t\r\n"))) > 0).select(name, F.col("value").alias("json"))
     if layout == "binary":

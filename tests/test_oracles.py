@@ -1,0 +1,28 @@
+"""Each query of the registry against its SQL on the smallest tables."""
+
+import pytest
+
+from pathloom.queries import SQL, Q
+from tests.compare import rows_of_duckdb, rows_of_spark, tables
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return tables(SF)
+
+
+@pytest.mark.parametrize("name", sorted(Q))
+def test_query_equals_sql(spark, con, name):
+    got = rows_of_spark(Q[name](spark, SF))
+    assert got == rows_of_duckdb(con, SQL[name])
+    assert got[1] or name == "empty_query"
+
+
+def test_entry_and_registry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
+    assert set(e.oracle_sql()) <= set(e.queries())
+    assert set(Q) <= set(e.queries())
