@@ -1,0 +1,64 @@
+import numpy as np
+import pytest
+
+from pathloom.llm import ann as A
+
+EVERY = "id % 20 = 0"
+
+
+def brute(ids, x, k):
+    out = {}
+    for i in range(len(ids)):
+        if ids[i] % 20 == 0:
+            s = (x * x[i]).sum(1)
+            keep = np.flatnonzero(ids != ids[i])
+            best = keep[np.lexsort((ids[keep], -s[keep]))[:k]]
+            out[int(ids[i])] = [(int(ids[b]), float(s[b])) for b in best]
+    return out
+
+
+def lists(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r["rank"] == len(out[r.query_id])
+    return out
+
+
+def frame(spark, ids, x):
+    return spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_recall_against_brute_force(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    x = rng.normal(size=(4000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(4000)
+    df = frame(spark, ids, x)
+    got, want = lists(A.search(df, EVERY, block=-(-4000 // blocks), query_block=120)), brute(ids, x, 20)
+    assert got.keys() == want.keys()
+    recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
+    assert recall >= 0.9
+    for q, best in got.items():
+        assert all(abs(s - float((x[q] * x[i]).sum())) < 1e-12 for i, s in best)
+    assert lists(A.exact(df.where("vec_id < 600"), EVERY)) == brute(ids[:600], x[:600], 20)
+
+
+def test_copies_tie_by_id(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0]  # a third of all rows
+    ids = np.arange(3000)
+    got = lists(A.search(frame(spark, ids, x), EVERY, block=700))
+    for q in (0, 60, 120):
+        assert [i for i, _ in got[q]] == [i for i in range(0, 3000, 3) if i != q][:20]
+
+
+def test_odd_rows(spark):
+    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (7, []), (None, [1.0, 1.0]), (8, [-1.0, 2.0]), (8, [-1.0, 2.0]), (20, [0.5, 0.5])]
+    df = spark.createDataFrame([(*r, 1, 0.5) for r in rows], "vec_id long, embedding array<double>, rank int, score double")
+    assert lists(A.search(df, EVERY)) == {0: [(20, 0.5), (8, -1.0)], 20: [(0, 0.5), (8, 0.5)]}
+    assert A.search(df.limit(0), EVERY).collect() == []
+    assert A.search(df.where("vec_id = 0"), EVERY).collect() == []
