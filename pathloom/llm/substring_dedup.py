@@ -101,7 +101,7 @@ def _owned(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 def _repeats(owned: DataFrame) -> DataFrame:
     """(doc_id, row, start, mask) of the windows that an earlier document has: bit i of mask is the window start + i."""
-    bit = F.sum(F.expr("CAST(shiftleft(1, i) AS int)")).cast("int").alias("mask")
+    bit = F.bit_or(F.expr("CAST(shiftleft(1, i) AS int)")).alias("mask")  # of rows that repeat, each sets the same bits
     cold = owned.where("NOT hot").repartition("anchor").select("anchor", "doc_id", "row", "start", F.posexplode("windows").alias("i", "w"))
     cold = cold.withColumn("first", F.expr("min(doc_id) OVER (PARTITION BY anchor, w)")).where("first < doc_id").groupBy("anchor", "doc_id", "row", "start").agg(bit)
     hot = owned.where("hot").select("anchor", "doc_id", "row", "start", F.posexplode("windows").alias("i", "w"))
