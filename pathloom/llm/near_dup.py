@@ -113,10 +113,12 @@ def _left_apart(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     ranked = each.join(often, "s").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "s", (F.col("x") != F.col("y")).alias("torn")))).alias("order"))
     t = Fraction(percent, 100)
     prefix = F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator - 1e-9) + 1
-    first = ranked.select("rep", "component", "n", F.explode(F.slice("order", F.lit(1), prefix.cast("int"))).alias("o")).where("o.torn").select("rep", "component", "n", "o.s")
+    first = ranked.select("rep", "component", "n", F.posexplode(F.slice("order", F.lit(1), prefix.cast("int"))).alias("i", "o")).where("o.torn").select("rep", "component", "n", "i", "o.s")
     first = scratch.save(first, "prefix")
-    a, b = (first.select(F.col("s"), *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "n"))) for k in "ab")
-    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") < F.col("rep_b"))
+    a, b = (first.select(F.col("s"), *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "n", "i"))) for k in "ab")
+    # the first shingle that a pair shares, and those after it, bound what it can share in all
+    enough = (100 + percent) * F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    near = enough & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") < F.col("rep_b"))
     return a.join(b, "s").where(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
