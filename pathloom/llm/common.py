@@ -66,6 +66,16 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+#: Ids up to which their table is broadcast, 8 MB of them; beyond, the texts are shuffled to meet them.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (how: left_semi) or is not (left_anti). ids is a stored table of one column."""
+    few = ids.count() <= limit
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", how).select(*docs.columns)
+
+
 def wide_hash(*cols) -> tuple:
     """Two independent 64-bit hashes, for use as one 128-bit key."""
     return F.xxhash64(*cols), F.xxhash64(*cols, F.lit("\x01second"))

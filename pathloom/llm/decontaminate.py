@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch
+from pathloom.llm.common import Scratch, by_ids
 from pathloom.llm.shingles import SECOND, U, mix, runs
 
 #: Words in a template window; an item of fewer words is one window of its own length.
@@ -192,4 +192,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_MAT
     """docs without the documents that hold a benchmark item; other columns pass through."""
     scratch = Scratch(docs.sparkSession, "leaking")
     bad = scratch.save(leaks(docs, benchmark, min_matched).select("doc_id").distinct(), "ids")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return by_ids(docs, bad, "left_anti")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch
+from pathloom.llm.common import Scratch, by_ids
 from pathloom.llm.components import components
 from pathloom.llm.shingles import U, WordHashes, mix, shingle_set
 
@@ -144,8 +144,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = scratch.save(keys.join(buckets.where("n > 2").select("key", "a"), "key"), "members")
     pairs = scratch.save(buckets.where("a <> b").select("a", "b").union(members.where("rep <> a").select("a", F.col("rep").alias("b"))).distinct(), "pairs")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.save(shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi"), words), "sets")
+    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = scratch.save(shingle_sets(by_ids(docs.select(F.col("doc_id").cast("long"), "text"), ids, "left_semi"), words), "sets")
     # rows that repeat a doc_id link its classes
     same = sig.where(takes_part).join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     repeated = same.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where("x <> y").select("a")
@@ -165,5 +165,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents that a smaller doc_id of their group stands for; other columns pass through."""
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "copies")
+    gone = scratch.save(near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct(), "ids")
+    return by_ids(docs, gone, "left_anti")

@@ -133,3 +133,13 @@ def test_tables_follow_the_threshold():
     for percent in (80, 85, 95):
         m = N.half_bands(percent)
         assert 2 * (1 - (percent / 100) ** N.HALF) ** m <= N.MISS
+
+
+@pytest.mark.parametrize("limit", [0, 10])
+def test_rows_by_ids_either_way(spark, limit):
+    from pathloom.llm.common import by_ids
+
+    df, ids = documents(spark), spark.createDataFrame([(6,), (8,), (77,)], "doc_id long")
+    assert sorted(r.doc_id for r in by_ids(df, ids, "left_semi", limit).collect()) == [6, 6, 8, 8]
+    assert by_ids(df, ids, "left_anti", limit).count() == len(DOCS) - 4
+    assert by_ids(df, ids, "left_anti", limit).columns == df.columns
