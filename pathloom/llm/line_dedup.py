@@ -51,30 +51,34 @@ def boilerplate(pages: DataFrame, text_col: str = "text", host_col: str = "sourc
 def drop_lines(pages: DataFrame, text_col: str = "text", host_col: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """pages with text_col freed of its host's boilerplate, plus n_lines and n_removed.
 
-    Every row stays, repeated ones too, and other columns pass through. A text that is null stays null (0 lines). An
-    empty text has one empty line. A text whose lines all go becomes "".
+    Every row stays, repeated ones too, and other columns pass through; columns of pages that bear the new names are
+    replaced. A text that is null stays null (0 lines). An empty text has one empty line. A text whose lines all go
+    becomes "".
     """
     scratch = Scratch(pages.sparkSession, "lines")
     bad = scratch.save(boilerplate(pages, text_col, host_col, max_ratio, min_pages).select("host", "line"), "boilerplate")
-    marked = _by_broadcast(pages, bad, text_col, host_col) if bad.count() <= broadcast_rows else _by_shuffle(pages, bad, text_col, host_col)
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines"))
-    clean = F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n"))
-    return marked.withColumns({"n_lines": n_lines.cast("int"), "n_removed": (n_lines - F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_kept"))).cast("int")}).withColumn(text_col, clean).drop("_lines", "_kept")
+    with_bad = _by_broadcast if bad.count() <= broadcast_rows else _by_shuffle
+    lines = _lines(f"page.{text_col}")
+    kept = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("bad"), _key(x)), F.lit(False))))
+    # the page stays a struct of its own, so that no column of it can clash with those made here
+    marked = with_bad(pages, bad, text_col, host_col).select("page", lines.alias("lines"), kept.alias("kept"))
+    there = F.col("page")[text_col].isNotNull()
+    number = lambda c: F.when(there, F.size(c)).otherwise(0).cast("int")
+    fresh = {text_col: F.when(there, F.array_join("kept", "\n")), "n_lines": number("lines"), "n_removed": (number("lines") - number("kept")).cast("int")}
+    passed = [fresh.get(c, F.col("page")[c]).alias(c) for c in pages.columns if c == text_col or c not in fresh]
+    return marked.select(*passed, *(fresh[c].alias(c) for c in ("n_lines", "n_removed")))
 
 
 def _by_broadcast(pages: DataFrame, bad: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    per_host = F.broadcast(bad.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_bad")))
-    joined = pages.join(per_host, _host(host_col) == F.col("_host"), "left").withColumn("_lines", _lines(text_col))
-    kept = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_bad"), _key(x)), F.lit(False))))
-    return joined.withColumn("_kept", kept).drop("_host", "_bad")
+    """(page, bad): each row of pages as a struct, and the boilerplate of its host; null if it has none."""
+    per_host = F.broadcast(bad.groupBy("host").agg(F.collect_list("line").alias("bad")))
+    return pages.select(F.struct(*pages.columns).alias("page"), _host(host_col).alias("host")).join(per_host, "host", "left").select("page", "bad")
 
 
 def _by_shuffle(pages: DataFrame, bad: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """Finds each page's boilerplate by a join on host and line, then joins pages with what was found by a hash of the page."""
-    a, b = wide_hash(_host(host_col), F.coalesce(F.col(text_col), F.lit("")))
-    keyed = pages.withColumns({"_p": a, "_q": b})
-    lines = keyed.select("_p", "_q", _host(host_col).alias("host"), F.explode(F.array_distinct(F.filter(F.transform(_lines(text_col), _key), lambda k: k.isNotNull()))).alias("line"))
-    found = lines.join(bad, ["host", "line"], "left_semi").groupBy("_p", "_q").agg(F.collect_set("line").alias("_bad"))
-    joined = keyed.join(found, ["_p", "_q"], "left").withColumn("_lines", _lines(text_col))
-    kept = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_bad"), _key(x)), F.lit(False))))
-    return joined.withColumn("_kept", kept).drop("_p", "_q", "_bad")
+    """The same, with only the page's own boilerplate: found by a join on host and line, then joined by a hash of the page."""
+    p, q = (h.alias(n) for h, n in zip(wide_hash(_host(host_col), F.coalesce(F.col(text_col), F.lit(""))), "pq", strict=True))
+    keys = F.array_distinct(F.filter(F.transform(_lines(text_col), _key), lambda k: k.isNotNull()))
+    lines = pages.select(p, q, _host(host_col).alias("host"), F.explode(keys).alias("line"))
+    found = lines.join(bad, ["host", "line"], "left_semi").groupBy("p", "q").agg(F.collect_set("line").alias("bad"))
+    return pages.select(F.struct(*pages.columns).alias("page"), p, q).join(found, ["p", "q"], "left").select("page", "bad")

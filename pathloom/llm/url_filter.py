@@ -44,11 +44,11 @@ def ruled(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
     """
     host, path = parts(url_col)
     out = pages.withColumns({"host": host, "path": path})
-    best = F.lit(None)
+    best = F.lit(None).cast("struct<rule:string,by_rule:string>")
     for verdict, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):  # the longest is asked first
         fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)
         best = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("by_rule"))).otherwise(best)
-    return out.withColumn("_r", best).withColumns({"rule": F.col("_r.rule"), "by_rule": F.col("_r.by_rule")}).drop("_r")
+    return out.withColumn("rule", best).withColumns({"rule": F.col("rule.rule"), "by_rule": F.col("rule.by_rule")})
 
 
 def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -21,7 +21,7 @@ DOCS = [
 
 def documents(spark):
     """(doc_id, text, lang, source, n_chars) and columns whose names an operator may want for itself."""
-    clash = {"n_words": 1, "row": 2, "rep": 3, "component_id": 4, "host": "h", "labels": "l", "score": 0.5, "is_toxic": True, "kept": False, "n_tokens": 7, "_lines": "u", "slot": 9}
+    clash = {"n_words": 1, "row": 2, "rep": 3, "component_id": 4, "host": "h", "labels": "l", "score": 0.5, "is_toxic": True, "kept": False, "n_tokens": 7, "_lines": "u", "slot": 9, "page": "p", "bad": "b", "lines": 3, "n_removed": 4, "grade": 5, "others": "o"}
     rows = [(i, t, None if k % 5 == 4 else "en", None if k % 4 == 3 else "src0", None if t is None else len(t), *clash.values()) for k, (i, t) in enumerate(DOCS)]
     kinds = {int: "int", str: "string", float: "double", bool: "boolean"}
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} {kinds[type(v)]}" for n, v in clash.items())).repartition(3)

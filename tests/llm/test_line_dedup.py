@@ -37,9 +37,10 @@ def test_equals_brute_force_either_way(spark, rows_to_broadcast):
 
 @pytest.mark.parametrize("rows_to_broadcast", [50_000, 0])
 def test_odd_rows_pass(spark, rows_to_broadcast):
-    df = documents(spark).drop("_lines")
+    df = documents(spark)
     out = drop_lines(df, broadcast_rows=rows_to_broadcast)
-    assert out.columns == [*df.columns, "n_lines", "n_removed"]
+    assert out.columns == [*(c for c in df.columns if c != "n_removed"), "n_lines", "n_removed"]
+    assert {(r.page, r.bad, r.lines, r.n_removed) for r in out.collect()} == {("p", "b", 3, 0)}
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(DOCS, key=repr)
     assert drop_lines(df.limit(0), broadcast_rows=rows_to_broadcast).collect() == []
 
