@@ -12,21 +12,31 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import Scratch, table
 
 
+def _packed(docs: DataFrame, *named: str) -> DataFrame:
+    """The named columns, and the others as one, so that none of them clashes with an operator's own."""
+    return docs.select(*named, F.struct(*(c for c in docs.columns if c not in named)).alias("others"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame, *named: str) -> DataFrame:
+    """The columns of docs from a table that _packed() made."""
+    return packed.select(*(F.col(c if c in named else f"others.{c}") for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fits the ordinal model on the labelled documents; what it finds toxic goes."""
     from pathloom.llm.toxicity import score, train
 
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.where(~F.col("is_toxic")).select(*docs.columns)
+    scored = score(_packed(docs, "doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
+    return _unpacked(scored.where(~F.col("is_toxic")), docs, "doc_id", "text")
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Frees texts of their source's boilerplate lines; n_chars follows. No document goes."""
     from pathloom.llm.line_dedup import drop_lines
 
-    clean = drop_lines(docs)
+    clean = drop_lines(_packed(docs, "text", "source", "n_chars"))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return _unpacked(clean.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)), docs, "text", "source", "n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
