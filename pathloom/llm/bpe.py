@@ -14,6 +14,7 @@ import itertools
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,7 +29,7 @@ LONG_PIECE = 256
 
 
 class MergeReplay:
-    """The vocabulary of a rank file, with encoding and decoding."""
+    """The vocabulary of a rank file, with encoding and decoding. Every single byte must have a rank."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         import regex
@@ -36,93 +37,109 @@ class MergeReplay:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
         self.vocab = {i: t for t, i in self.ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], int] = {}
+        top = max(self.vocab) + 1
+        self.decimal = [str(i) for i in range(top)]
         get = self.ranks.get
-        for whole, rank in self.ranks.items():
-            for k in range(1, len(whole)):
-                if (a := get(whole[:k])) is not None and (b := get(whole[k:])) is not None:
-                    self.pairs[a, b] = rank
-        self.memo: dict[str, tuple[int, ...]] = {}
+        pairs = np.array([(a, b, rank) for t, rank in self.ranks.items() for k in range(1, len(t)) if (a := get(t[:k])) is not None and (b := get(t[k:])) is not None], np.int64).reshape(-1, 3)
+        self.right, self.left = _Partners(pairs[:, 0], pairs[:, 1], pairs[:, 2], top), _Partners(pairs[:, 1], pairs[:, 0], pairs[:, 2], top)
+        # tokens that have several splits: one of their parts may come by a later merge than they do
+        self.early = set(pairs[pairs[:, 2] < pairs[:, :2].max(1)][:, :2].ravel().tolist())
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.of_bytes = np.array([self.right.ranks(a, self.of_byte) for a in self.of_byte.tolist()])
+        self.memo = _Memo(self)
 
     def replay(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each piece; all pieces are merged together, lowest rank first."""
-        ranks, pairs = self.ranks, self.pairs
-        token: list[int] = []  # at each position its token; -1 once it is merged into the one before
-        after: list[int] = []
-        before: list[int] = []
-        out: list = [None] * len(pieces)
-        starts: list[tuple[int, int]] = []
-        for i, piece in enumerate(pieces):
-            whole = ranks.get(piece)
-            if whole is not None:
-                out[i] = (whole,)
-            elif not piece:
-                out[i] = ()
-            else:
-                s = len(token)
-                starts.append((i, s))
-                token += [ranks[piece[k : k + 1]] for k in range(len(piece))]
-                after += [*range(s + 1, len(token)), -1]
-                before += [-1, *range(s, len(token) - 1)]
-        index: dict[int, list[int]] = {}  # rank of a pair -> positions of its left token
-        for p, n in enumerate(after):
-            if n >= 0 and (r := pairs.get((token[p], token[n]))) is not None:
-                index.setdefault(r, []).append(p)
-        heap = sorted(index)
+        whole = [self.ranks.get(p, -1) for p in pieces]
+        split = [p for p, w in zip(pieces, whole, strict=True) if w < 0 and p]
+        done = iter(self._merged(split)) if split else iter(())
+        return [(w,) if w >= 0 else next(done) if p else () for p, w in zip(pieces, whole, strict=True)]
+
+    def _merged(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([len(p) for p in pieces])
+        place = np.arange(len(raw))
+        after, before = place + 1, place - 1
+        after[ends - 1], before[ends[:-1]], before[0] = -1, -1, -1
+        token = self.of_byte[raw]  # at each position its token; -1 once it is merged into the one before
+        due = np.full(len(raw), -1)  # rank of the merge with the next token
+        due[:-1] = self.of_bytes[raw[:-1], raw[1:]]
+        due[ends - 1] = -1
+        index: dict[int, list[np.ndarray]] = {}  # rank -> positions that are due
+        heap: list[int] = []
+
+        def post(positions: np.ndarray, ranks: np.ndarray) -> None:
+            use = ranks >= 0
+            positions, ranks = positions[use], ranks[use]
+            if not len(ranks):
+                return
+            order = np.argsort(ranks, kind="stable")
+            ranks = ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for r, group in zip(ranks[[0, *cuts]].tolist(), np.split(positions[order], cuts), strict=True):
+                if r not in index:
+                    heappush(heap, r)
+                index.setdefault(r, []).append(group)
+
+        post(place, due)
         while heap:
             rank = heappop(heap)
-            where = index.pop(rank, None)
-            if where is None:
+            due_now = np.unique(np.concatenate(index.pop(rank)))
+            at = due_now = due_now[due[due_now] == rank]  # earlier merges may have taken one of the two
+            if not len(at):
                 continue
-            where.sort()
-            for k, p in enumerate(where):
-                n = after[p]
-                if n < 0 or token[p] < 0 or pairs.get((token[p], token[n])) != rank:
-                    continue  # an earlier merge took one of the two
-                token[p], token[n] = rank, -1
-                n = after[p] = after[n]
-                touched, lower = [], False
-                if n >= 0:
-                    before[n] = p
-                    touched.append((p, n))
-                if (b := before[p]) >= 0:
-                    touched.append((b, p))
-                for a, c in touched:
-                    if (r := pairs.get((token[a], token[c]))) is not None:
-                        if r in index:
-                            index[r].append(a)
-                        else:
-                            index[r] = [a]
-                            heappush(heap, r)
-                        lower = lower or r < rank
-                if lower:  # a token that has several splits: its merge comes before what is left of this one
-                    if rank not in index:
-                        heappush(heap, rank)
-                    index.setdefault(rank, []).extend(where[k + 1 :])
-                    break
-        for i, s in starts:
-            ids = []
-            while s >= 0:
-                ids.append(token[s])
-                s = after[s]
-            out[i] = tuple(ids)
-        return out
+            # of neighbours that both are due, the left one is merged, and so every other one of a chain
+            chained = np.concatenate(([False], after[at[:-1]] == at[1:]))
+            if chained.any():
+                own = np.arange(len(at))
+                at = at[(own - np.maximum.accumulate(np.where(chained, 0, own))) % 2 == 0]
+            if rank in self.early:
+                at = self._upto_earlier(rank, at, ends, token, after, before)
+            gone = after[at]
+            token[at], token[gone], due[gone] = rank, -1, -1
+            after[at] = after[gone]
+            due[at] = -1
+            inner = at[after[at] >= 0]
+            before[after[inner]] = inner
+            if self.right.has(rank):
+                due[inner] = self.right.ranks(rank, token[after[inner]])
+                post(inner, due[inner])
+            inner = before[at[before[at] >= 0]]
+            due[inner] = self.left.ranks(rank, token[inner])
+            post(inner, due[inner])
+            if rank in self.early:
+                rest = due_now[due[due_now] == rank]
+                post(rest, due[rest])
+        stays = token >= 0
+        ids, upto = token[stays].tolist(), np.cumsum(stays)[ends - 1].tolist()
+        return [tuple(ids[i:j]) for i, j in zip([0, *upto[:-1]], upto, strict=True)]
+
+    def _upto_earlier(self, rank: int, at: np.ndarray, ends: np.ndarray, token: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Of the positions at, in each piece those up to the first whose merge brings about a pair of lower rank.
+
+        That pair is merged before the positions that are left out here.
+        """
+        gone, last = after[at], before[at]
+        next_ = after[gone]
+        last_token = np.where(np.concatenate(([False], gone[:-1] == last[1:])), rank, token[last])
+        ranks = np.stack([np.where(last >= 0, self.left.ranks(rank, last_token), -1), np.where(next_ >= 0, self.right.ranks(rank, token[next_]), -1)])
+        low = ((ranks >= 0) & (ranks < rank)).any(0)
+        if not low.any():
+            return at
+        piece = np.searchsorted(ends, at, "right")
+        seen = np.cumsum(low) - low
+        begins = np.concatenate(([True], piece[1:] != piece[:-1]))
+        return at[seen == np.maximum.accumulate(np.where(begins, seen, 0))]
 
     def learn(self, texts: Iterable[list[str]]) -> None:
         """Merges the pieces of a block that are not in the memo."""
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
-        memo = self.memo
-        new = list(dict.fromkeys(p for pieces in texts for p in pieces if p not in memo and len(p) <= LONG_PIECE))
-        for p, ids in zip(new, self.replay([p.encode() for p in new]), strict=True):
-            memo[p] = ids
+        new = [p for p in dict.fromkeys(itertools.chain.from_iterable(texts)) if p not in self.memo and len(p) <= LONG_PIECE]
+        self.memo.update(zip(new, self.replay([p.encode() for p in new]), strict=True))
 
     def ids_of(self, pieces: list[str]) -> list[int]:
-        memo, ids = self.memo, []
-        for p in pieces:
-            got = memo.get(p)
-            ids += self.replay([p.encode()])[0] if got is None else got
-        return ids
+        return list(itertools.chain.from_iterable(map(self.memo.__getitem__, pieces)))
 
     def encode(self, text: str) -> list[int]:
         pieces = self.find(text)
@@ -130,8 +147,38 @@ class MergeReplay:
         return self.ids_of(pieces)
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        vocab = self.vocab
-        return b"".join([vocab[i] for i in ids])
+        return b"".join(map(self.vocab.__getitem__, ids))
+
+
+class _Partners:
+    """For each token the tokens that stand on one side of it in a merge, with the merge's rank."""
+
+    def __init__(self, token: np.ndarray, partner: np.ndarray, rank: np.ndarray, top: int):
+        order = np.lexsort((partner, token))
+        self.partner, self.rank = partner[order], rank[order]
+        self.start = np.searchsorted(token[order], np.arange(top + 1)).tolist()
+
+    def has(self, token: int) -> bool:
+        return self.start[token] < self.start[token + 1]
+
+    def ranks(self, token: int, partners: np.ndarray) -> np.ndarray:
+        """The rank of the merge with each partner; -1 where there is none."""
+        s = slice(self.start[token], self.start[token + 1])
+        known = self.partner[s]
+        if not len(known):
+            return np.full(len(partners), -1)
+        i = np.minimum(np.searchsorted(known, partners), len(known) - 1)
+        return np.where(known[i] == partners, self.rank[s][i], -1)
+
+
+class _Memo(dict):
+    """Piece -> ids; one that was not learnt is merged alone, and not kept."""
+
+    def __init__(self, bpe: MergeReplay):
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        return self.bpe.replay([piece.encode()])[0]
 
 
 _LOADED: dict[tuple[bytes, str], MergeReplay] = {}
@@ -176,7 +223,7 @@ def encode_table(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bool =
                 for pieces in block:
                     ids = bpe.ids_of(pieces)
                     counts.append(len(ids))
-                    sums.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    sums.append(hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                     if keep_ids:
                         kept.append(pa.array(ids, pa.int32()))

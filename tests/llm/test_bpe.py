@@ -53,3 +53,22 @@ def test_table(spark, monkeypatch):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert encode_table(df.limit(0), P.path(FILES[0]), P.PATTERN).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_many_pieces_at_once_under_odd_vocabularies(seed):
+    rnd = random.Random(seed)
+    tokens = {bytes([i]): i for i in range(256)}
+    parts = [bytes([c]) for c in b"abcd"]
+    more = []
+    while len(more) < 40:  # parts of any age, so that many tokens have several splits and earlier ranks than their parts
+        t = rnd.choice(parts) + rnd.choice(parts)
+        if t not in tokens and t not in more and len(t) < 9:
+            more.append(t)
+            parts.append(t)
+    rnd.shuffle(more)
+    ranks = tokens | {t: 256 + k for k, t in enumerate(more)}
+    raw = b"\n".join(base64.b64encode(t) + b" " + str(r).encode() for t, r in ranks.items())
+    mine, library = MergeReplay(raw, P.PATTERN), tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 40))) for _ in range(2000)]
+    assert [list(x) for x in mine.replay([p.encode() for p in pieces])] == [library.encode_ordinary(p) for p in pieces]
