@@ -22,8 +22,8 @@ from pathloom.llm.shingles import SECOND, WordHashes, runs
 
 #: Words in a window, and in an anchor.
 WINDOW, ANCHOR = 13, 5
-#: Documents from which a shared anchor is hot: its windows are then aggregated before they are shuffled.
-HOT = 100_000
+#: Documents that share an anchor and meet in one group, about; more are dealt to several groups first.
+GROUP = 1_000
 
 
 def _selected(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,10 +58,10 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _owned(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Of docs (doc_id, text, shared, hot): a row for each shared anchor's place, with the windows that select it.
+    """Of docs (doc_id, text, shared, part, row): a row for each shared anchor's place, with the windows that select it.
 
-    (anchor, doc_id, row, start, hot, windows): row is a hash of the text, start the first of these windows, and
-    windows holds the hash of each.
+    (anchor, part, doc_id, row, start, windows): part is what shared and part, two lists, say of the anchor; row is a
+    hash of the text, start the first of these windows, and windows holds the hash of each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +69,7 @@ def _owned(docs: DataFrame, window: int, anchor: int) -> DataFrame:
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
             hashes, ends = [np.empty(0, np.int64)], [0]
-            for doc, text, shared, hot, row in zip(batch.column(0).to_numpy(zero_copy_only=False), *(batch.column(k) for k in range(1, 5)), strict=True):
+            for doc, text, shared, part, row in zip(batch.column(0).to_numpy(zero_copy_only=False), *(batch.column(k) for k in range(1, 5)), strict=True):
                 words = _words(text)
                 if len(words) < window:
                     continue
@@ -79,35 +79,46 @@ def _owned(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
                 end = np.append(begin[1:], len(at))
                 seeds = g[at[begin]]
-                use = np.isin(seeds, shared.values.to_numpy())
+                known, parts = shared.values.to_numpy(), part.values.to_numpy()
+                order = np.argsort(known, kind="stable")
+                known, parts = known[order], parts[order]
+                where = np.minimum(np.searchsorted(known, seeds), len(known) - 1)
+                use = known[where] == seeds
                 if not use.any():
                     continue
-                begin, end, seeds = begin[use], end[use], seeds[use]
+                begin, end, seeds, where = begin[use], end[use], seeds[use], where[use]
                 w = runs(h, window, SECOND).view(np.int64)
                 n = end - begin
                 hashes.append(w[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())])
                 ends.extend((np.cumsum(n) + ends[-1]).tolist())
                 cols[0].append(seeds)
-                cols[1].append(np.full(len(n), doc, np.int64))
-                cols[2].append(np.full(len(n), row.as_py(), np.int32))
-                cols[3].append(begin.astype(np.int32))
-                cols[4].append(np.isin(seeds, hot.values.to_numpy()))
-            kinds = (np.int64, np.int64, np.int32, np.int32, np.bool_)
+                cols[1].append(parts[where])
+                cols[2].append(np.full(len(n), doc, np.int64))
+                cols[3].append(np.full(len(n), row.as_py(), np.int32))
+                cols[4].append(begin.astype(np.int32))
+            kinds = (np.int64, np.int32, np.int64, np.int32, np.int32)
             flat = [pa.array(np.concatenate(c) if c else np.empty(0, k)) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*flat, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes)))], ["anchor", "doc_id", "row", "start", "hot", "windows"])
+            yield pa.RecordBatch.from_arrays([*flat, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes)))], ["anchor", "part", "doc_id", "row", "start", "windows"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, row int, start int, hot boolean, windows array<long>")
+    return docs.mapInArrow(run, "anchor long, part int, doc_id long, row int, start int, windows array<long>")
 
 
 def _repeats(owned: DataFrame) -> DataFrame:
-    """(doc_id, row, start, mask) of the windows that an earlier document has: bit i of mask is the window start + i."""
+    """(doc_id, row, start, mask) of the windows that an earlier document has: bit i of mask is the window start + i.
+
+    Windows meet in groups of an anchor's part. What has an earlier document there is decided. What has not, and belongs
+    to an anchor of several parts, meets once more by window: one document of each part at most, however many have it.
+    """
     bit = F.bit_or(F.expr("CAST(shiftleft(1, i) AS int)")).alias("mask")  # of rows that repeat, each sets the same bits
-    cold = owned.where("NOT hot").repartition("anchor").select("anchor", "doc_id", "row", "start", F.posexplode("windows").alias("i", "w"))
-    cold = cold.withColumn("first", F.expr("min(doc_id) OVER (PARTITION BY anchor, w)")).where("first < doc_id").groupBy("anchor", "doc_id", "row", "start").agg(bit)
-    hot = owned.where("hot").select("anchor", "doc_id", "row", "start", F.posexplode("windows").alias("i", "w"))
-    first = hot.groupBy("anchor", "w").agg(F.min("doc_id").alias("first"))
-    hot = hot.join(first, ["anchor", "w"]).where("first < doc_id").groupBy("anchor", "doc_id", "row", "start").agg(bit)
-    return cold.unionByName(hot).select("doc_id", "row", "start", "mask")
+
+    def met(rows: DataFrame) -> DataFrame:
+        each = rows.repartition("anchor", "part").select("anchor", "part", "doc_id", "row", "start", F.posexplode("windows").alias("i", "w"))
+        return each.withColumn("first", F.expr("min(doc_id) OVER (PARTITION BY anchor, part, w)"))
+
+    decided = met(owned).where("first < doc_id").groupBy("anchor", "part", "doc_id", "row", "start").agg(bit)
+    undecided = met(owned.where("part >= 0")).where("first = doc_id").drop("first")
+    later = undecided.withColumn("first", F.expr("min(doc_id) OVER (PARTITION BY anchor, w)")).where("first < doc_id")
+    return decided.select("doc_id", "row", "start", "mask").unionByName(later.groupBy("doc_id", "row", "start").agg(bit))
 
 
 def _cut(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
@@ -146,7 +157,7 @@ def _cut(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fresh))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group: int = GROUP, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256 and, with keep_text, kept_text and spans) for each row of docs.
 
     Words are separated by ASCII white space. A word goes when a window over it also starts in a row of smaller doc_id;
@@ -161,13 +172,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     known, unknown = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
     seeds = scratch.save(anchors(known, window, anchor), "anchors")
-    shared = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") >= hot).alias("hot"))
-    of_doc = scratch.save(seeds.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")), "shared")
+    shared = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    part = F.when(F.col("n") <= group, -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / group))).cast("int")
+    of_doc = scratch.save(seeds.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"), F.collect_list(part).alias("part")), "shared")
     scratch.drop(seeds)
     scratch.release()
     row = F.hash(F.coalesce("text", F.lit("")))
-    owned = scratch.save(_owned(known.join(of_doc, "doc_id").withColumn("row", row).select("doc_id", "text", "shared", "hot", "row"), window, anchor), "windows")
+    owned = scratch.save(_owned(known.join(of_doc, "doc_id").withColumn("row", row).select("doc_id", "text", "shared", "part", "row"), window, anchor), "windows")
+    scratch.drop(of_doc)
+    scratch.release()
+    repeats = scratch.save(_repeats(owned).groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "mask")).alias("repeats")), "repeats")
+    scratch.drop(owned)
     scratch.release()
-    repeats = _repeats(owned).groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "mask")).alias("repeats"))
     whole = known.join(repeats, "doc_id", "left").select("doc_id", "text", row.alias("row"), "repeats")
     return _cut(whole.unionByName(unknown.select("doc_id", "text", row.alias("row"), F.lit(None).cast("array<struct<row:int,start:int,mask:int>>").alias("repeats"))), window, keep_text)

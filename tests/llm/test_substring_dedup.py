@@ -26,8 +26,8 @@ def brute(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("window", "anchor", "hot"), [(13, 5, 100_000), (13, 5, 3), (6, 6, 100_000), (20, 4, 2)])
-def test_equals_brute_force(spark, window, anchor, hot):
+@pytest.mark.parametrize(("window", "anchor", "group"), [(13, 5, 100_000), (13, 5, 3), (6, 6, 100_000), (20, 4, 2)])
+def test_equals_brute_force(spark, window, anchor, group):
     rnd = random.Random(window * anchor)
     word = lambda: rnd.choice(["a", "b", "the", "of", f"w{rnd.randint(0, 300)}", "É"])
     passages = [[word() for _ in range(rnd.randint(window - 1, 3 * window))] for _ in range(12)]
@@ -39,7 +39,7 @@ def test_equals_brute_force(spark, window, anchor, hot):
         rows.append((i * 13 % 251, rnd.choice([" ", "\n", "  "]).join(words)))
     rows += [(300, "a " * 200), (301, "a " * 100), (5, rows[3][1]), (5, rows[3][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    out = remove_repeats(df, window, anchor, hot)
+    out = remove_repeats(df, window, anchor, group)
     got = out.collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute(rows, window)
     for r in got:
