@@ -22,10 +22,8 @@ from pathloom.llm.common import extended
 
 #: Characters of text whose new pieces are merged together.
 BLOCK_CHARS = 8_000_000
-#: Pieces a task remembers; when there are more it starts afresh.
-MEMO_PIECES = 400_000
-#: A piece longer than this is merged alone and not remembered.
-LONG_PIECE = 256
+#: Pieces that are remembered from block to block of a task, and bytes of them; when there are more it starts afresh.
+MEMO_PIECES, MEMO_BYTES = 400_000, 8_000_000
 
 
 class MergeReplay:
@@ -46,16 +44,27 @@ class MergeReplay:
         self.early = set(pairs[pairs[:, 2] < pairs[:, :2].max(1)][:, :2].ravel().tolist())
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.of_bytes = np.array([self.right.ranks(a, self.of_byte) for a in self.of_byte.tolist()])
-        self.memo = _Memo(self)
+        self.forget()
 
     def replay(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each piece; all pieces are merged together, lowest rank first."""
-        whole = [self.ranks.get(p, -1) for p in pieces]
-        split = [p for p, w in zip(pieces, whole, strict=True) if w < 0 and p]
-        done = iter(self._merged(split)) if split else iter(())
-        return [(w,) if w >= 0 else next(done) if p else () for p, w in zip(pieces, whole, strict=True)]
-
-    def _merged(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        ids, ends = self._merged(pieces)
+        return [tuple(x) for x in np.split(ids, ends[:-1])] if pieces else []
+
+    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and where each piece's end. A piece that is a token need not be merged."""
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        counts = (whole >= 0).astype(np.int64)
+        split = np.flatnonzero((whole < 0) & (lengths > 0))
+        merged, counts[split] = self._replayed([pieces[i] for i in split.tolist()]) if len(split) else (whole[:0], 0)
+        ids = np.empty(counts.sum(), np.int64)
+        of_split = np.repeat(whole < 0, counts)
+        ids[of_split], ids[~of_split] = merged, whole[whole >= 0]
+        return ids, np.cumsum(counts)
+
+    def _replayed(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has."""
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         place = np.arange(len(raw))
@@ -111,8 +120,7 @@ class MergeReplay:
                 rest = due_now[due[due_now] == rank]
                 post(rest, due[rest])
         stays = token >= 0
-        ids, upto = token[stays].tolist(), np.cumsum(stays)[ends - 1].tolist()
-        return [tuple(ids[i:j]) for i, j in zip([0, *upto[:-1]], upto, strict=True)]
+        return token[stays], np.diff(np.cumsum(stays)[ends - 1], prepend=0)
 
     def _upto_earlier(self, rank: int, at: np.ndarray, ends: np.ndarray, token: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Of the positions at, in each piece those up to the first whose merge brings about a pair of lower rank.
@@ -131,20 +139,40 @@ class MergeReplay:
         begins = np.concatenate(([True], piece[1:] != piece[:-1]))
         return at[seen == np.maximum.accumulate(np.where(begins, seen, 0))]
 
-    def learn(self, texts: Iterable[list[str]]) -> None:
-        """Merges the pieces of a block that are not in the memo."""
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        new = [p for p in dict.fromkeys(itertools.chain.from_iterable(texts)) if p not in self.memo and len(p) <= LONG_PIECE]
-        self.memo.update(zip(new, self.replay([p.encode() for p in new]), strict=True))
+    def forget(self) -> None:
+        """Empties the memo: pieces are numbered as they come, and the ids of each stand one after another."""
+        self.numbers, self.size = _Numbers(), 0
+        self.ids, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def ids_of(self, pieces: list[str]) -> list[int]:
-        return list(itertools.chain.from_iterable(map(self.memo.__getitem__, pieces)))
+    def numbered(self, text: str) -> np.ndarray:
+        """The numbers of a text's pieces, which learn() must be called for before ids_of()."""
+        pieces = self.find(text)
+        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int32, len(pieces))
+
+    def learn(self) -> None:
+        """Merges the pieces that have been numbered since the last call, all together."""
+        new = [p.encode() for p in self.numbers.new]
+        self.numbers.new.clear()
+        ids, ends = self._merged(new)
+        self.size += sum(map(len, new))
+        self.ids, self.ends = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.ends, ends + self.ends[-1]])
+
+    def full(self) -> bool:
+        return len(self.numbers) > MEMO_PIECES or self.size > MEMO_BYTES
+
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of pieces with these numbers, one after another."""
+        start = self.ends[numbers]
+        count = self.ends[numbers + 1] - start
+        upto = np.cumsum(count)
+        return self.ids[np.repeat(start - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)]
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.find(text)
-        self.learn([pieces])
-        return self.ids_of(pieces)
+        if self.full():
+            self.forget()
+        numbers = self.numbered(text)
+        self.learn()
+        return self.ids_of(numbers).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
@@ -171,14 +199,16 @@ class _Partners:
         return np.where(known[i] == partners, self.rank[s][i], -1)
 
 
-class _Memo(dict):
-    """Piece -> ids; one that was not learnt is merged alone, and not kept."""
+class _Numbers(dict):
+    """Piece -> its number, in the order in which pieces come; new has those that are not merged yet."""
 
-    def __init__(self, bpe: MergeReplay):
-        self.bpe = bpe
+    def __init__(self) -> None:
+        self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        return self.bpe.replay([piece.encode()])[0]
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
 
 
 _LOADED: dict[tuple[bytes, str], MergeReplay] = {}
@@ -198,7 +228,7 @@ def encode_table(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bool =
     rank_path names the rank file on the driver; its bytes (under 1 MB for 50,000 ranks) go to the tasks. A null text is
     encoded as an empty one: 0 tokens, and the digests of nothing. Decoded bytes come from the ids. Other columns pass
     through; columns of docs that bear the new names are replaced. Nothing is shuffled, so skewed keys don't matter;
-    memory is bounded by a block of texts and the memo, and one text's pieces.
+    memory is bounded by a block of texts, the memo and one text.
     """
     with open(rank_path, "rb") as f:
         ranks = f.read()
@@ -213,25 +243,29 @@ def encode_table(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bool =
         for batch in batches:
             done, texts = 0, batch.column(at)
             while done < batch.num_rows:
+                if bpe.full():
+                    bpe.forget()
                 block, n, chars = [], 0, 0
                 while done + n < batch.num_rows and (not n or chars < BLOCK_CHARS):
                     text = texts[done + n].as_py() or ""
-                    block.append(bpe.find(text))
+                    block.append(bpe.numbered(text))
                     chars, n = chars + len(text), n + 1
-                bpe.learn(block)
+                bpe.learn()
                 counts, sums, back, kept = [], [], [], []
-                for pieces in block:
-                    ids = bpe.ids_of(pieces)
+                for numbers in block:
+                    ids = bpe.ids_of(numbers)
+                    if keep_ids:
+                        kept.append(ids)
+                    ids = ids.tolist()
                     counts.append(len(ids))
                     sums.append(hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                    if keep_ids:
-                        kept.append(pa.array(ids, pa.int32()))
                 cols = [pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())]
                 if keep_ids:
                     ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
-                    cols.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(kept)))
+                    cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(kept))))
                 yield pa.RecordBatch.from_arrays([*batch.slice(done, n).columns, *cols], names)
                 done += n
+        bpe.forget()  # the worker stays, and other stages need its memory
 
     return docs.mapInArrow(run, schema)

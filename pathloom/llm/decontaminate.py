@@ -28,7 +28,7 @@ MIN_PLAIN = 4
 MIN_MATCHED = 3
 #: Bits of the filter of benchmark windows that goes to every task.
 FILTER_BITS = 1 << 24
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 250_000
 UNITS = frozenset("%|°|°c|°f|$|€|£|cm|mm|km|m|meters|metres|meter|metre|miles|mile|feet|foot|ft|inches|inch|in.|yards|yard|kg|g|mg|grams|gram|kilograms|kilogram|lbs|lb|pounds|pound|ounces|ounce|oz|tons|ton|l|ml|liters|litres|liter|litre|gallons|gallon|s|sec|seconds|second|min|minutes|minute|h|hours|hour|days|day|weeks|week|months|month|years|year|dollars|dollar|cents|cent|euros|euro|usd|eur|percent|degrees|degree|mph|kmh|km/h|hz|khz|mhz|ghz|kb|mb|gb|tb|watts|volts|joules".split("|"))
 _NUMBER = re.compile(r"[$€£#+-]?\d+(?:[.,:/]\d+)*(?:%|st|nd|rd|th|[a-z]{1,3})?")
 _SPELLED = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words a task remembers the hash of; when there are more it starts afresh.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 250_000
 U = np.uint64
 #: Odd multipliers for runs of words; one for each independent hash.
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F

@@ -28,7 +28,7 @@ MAX_TRAIN = 8_000
 #: and if so many graded rows have it, and such a share of them.
 MIN_LIFT, MIN_Z, MIN_ROWS, MIN_SHARE = 8.0, 4.0, 4, 0.015
 #: Words a task remembers.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
