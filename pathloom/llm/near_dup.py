@@ -29,6 +29,8 @@ from pathloom.llm.shingles import U, WordHashes, mix, shingle_set
 HALF = 3
 #: Share of pairs right at the threshold that the tables may miss.
 MISS = 5e-4
+#: Rows of table keys that a task makes, about; and tasks that make them, at most.
+KEYS_A_TASK, KEY_TASKS = 1_000_000, 100_000
 
 
 def half_bands(percent: int, half: int = HALF, miss: float = MISS) -> int:
@@ -138,8 +140,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     takes_part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     classes = scratch.save(sig.where(takes_part).groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
 
+    # each class becomes m * m rows: not in the few tasks that read so small a table
+    tasks = min(KEY_TASKS, math.ceil((classes.count() + 1) * m * m / KEYS_A_TASK))
     tables = F.expr(f"transform(sequence(0, {m * m - 1}), t -> xxhash64(t, bands[CAST(t DIV {m} AS int)], bands[CAST({m} + t % {m} AS int)]))")
-    keys = classes.select("rep", F.explode(tables).alias("key"))
+    keys = classes.repartition(tasks, "rep").select("rep", F.explode(tables).alias("key"))
     buckets = scratch.save(keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = scratch.save(keys.join(buckets.where("n > 2").select("key", "a"), "key"), "members")
     pairs = scratch.save(buckets.where("a <> b").select("a", "b").union(members.where("rep <> a").select("a", F.col("rep").alias("b"))).distinct(), "pairs")
