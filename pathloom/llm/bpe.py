@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pathloom.llm.common import extended
+from pathloom.llm.common import extended, tidy
 
 #: Characters of text whose new pieces are merged together.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Pieces that are remembered from block to block of a task, and bytes of them; when there are more it starts afresh.
 MEMO_PIECES, MEMO_BYTES = 400_000, 8_000_000
 
@@ -42,7 +42,7 @@ class MergeReplay:
         self.right, self.left = _Partners(pairs[:, 0], pairs[:, 1], pairs[:, 2], top), _Partners(pairs[:, 1], pairs[:, 0], pairs[:, 2], top)
         # tokens that have several splits: one of their parts may come by a later merge than they do
         self.early = set(pairs[pairs[:, 2] < pairs[:, :2].max(1)][:, :2].ravel().tolist())
-        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.of_bytes = np.array([self.right.ranks(a, self.of_byte) for a in self.of_byte.tolist()])
         self.forget()
 
@@ -67,11 +67,11 @@ class MergeReplay:
         """The ids of all pieces in a row, and how many each has."""
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
-        place = np.arange(len(raw))
+        place = np.arange(len(raw), dtype=np.int32)
         after, before = place + 1, place - 1
         after[ends - 1], before[ends[:-1]], before[0] = -1, -1, -1
         token = self.of_byte[raw]  # at each position its token; -1 once it is merged into the one before
-        due = np.full(len(raw), -1)  # rank of the merge with the next token
+        due = np.full(len(raw), -1, np.int32)  # rank of the merge with the next token
         due[:-1] = self.of_bytes[raw[:-1], raw[1:]]
         due[ends - 1] = -1
         index: dict[int, list[np.ndarray]] = {}  # rank -> positions that are due
@@ -183,7 +183,7 @@ class _Partners:
 
     def __init__(self, token: np.ndarray, partner: np.ndarray, rank: np.ndarray, top: int):
         order = np.lexsort((partner, token))
-        self.partner, self.rank = partner[order], rank[order]
+        self.partner, self.rank = partner[order].astype(np.int32), rank[order].astype(np.int32)
         self.start = np.searchsorted(token[order], np.arange(top + 1)).tolist()
 
     def has(self, token: int) -> bool:
@@ -194,7 +194,7 @@ class _Partners:
         s = slice(self.start[token], self.start[token + 1])
         known = self.partner[s]
         if not len(known):
-            return np.full(len(partners), -1)
+            return np.full(len(partners), -1, np.int32)
         i = np.minimum(np.searchsorted(known, partners), len(known) - 1)
         return np.where(known[i] == partners, self.rank[s][i], -1)
 
@@ -268,4 +268,4 @@ def encode_table(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bool =
                 done += n
         bpe.forget()  # the worker stays, and other stages need its memory
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -66,6 +69,22 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def tidy(run: Callable) -> Callable:
+    """run, a function for mapInArrow, and then the return of what it has freed to the system.
+
+    A worker process outlives its task, and without this keeps the most that any task has needed.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 #: Ids up to which their table is broadcast, 8 MB of them; beyond, the texts are shuffled to meet them.
 BROADCAST_IDS = 1_000_000
 

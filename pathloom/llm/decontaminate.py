@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch, by_ids
+from pathloom.llm.common import Scratch, by_ids, tidy
 from pathloom.llm.shingles import SECOND, U, mix, runs
 
 #: Words in a template window; an item of fewer words is one window of its own length.
@@ -138,7 +138,7 @@ def _window_rows(texts: DataFrame, sizes: tuple[int, ...] | None, bits=None) ->
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["id", "size", "start", "h1", "h2", "slots"])
 
-    return texts.mapInArrow(run, _WINDOW_ROWS)
+    return texts.mapInArrow(tidy(run), _WINDOW_ROWS)
 
 
 def _probes(h: np.ndarray) -> list[np.ndarray]:
@@ -154,7 +154,7 @@ def _filter(items: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_probes(h))).astype(np.int32))], ["bit"])
 
     bits = np.zeros(FILTER_BITS, bool)
-    for r in items.select("h1").mapInArrow(run, "bit int").distinct().toLocalIterator():
+    for r in items.select("h1").mapInArrow(tidy(run), "bit int").distinct().toLocalIterator():
         bits[r["bit"]] = True
     return np.packbits(bits, bitorder="little").tobytes()
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch, by_ids
+from pathloom.llm.common import Scratch, by_ids, tidy
 from pathloom.llm.components import components
 from pathloom.llm.shingles import U, WordHashes, mix, shingle_set
 
@@ -72,7 +72,7 @@ def signatures(docs: DataFrame, words: int, m: int) -> DataFrame:
             flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n_shingles", "c1", "c2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -85,7 +85,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch
+from pathloom.llm.common import Scratch, tidy
 from pathloom.llm.shingles import SECOND, WordHashes, runs
 
 #: Words in a window, and in an anchor.
@@ -54,7 +54,7 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     ids.append(np.full(len(got), doc, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], ["anchor", "doc_id"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long")
+    return docs.mapInArrow(tidy(run), "anchor long, doc_id long")
 
 
 def _owned(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -100,7 +100,7 @@ def _owned(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             flat = [pa.array(np.concatenate(c) if c else np.empty(0, k)) for c, k in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*flat, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes)))], ["anchor", "part", "doc_id", "row", "start", "windows"])
 
-    return docs.mapInArrow(run, "anchor long, part int, doc_id long, row int, start int, windows array<long>")
+    return docs.mapInArrow(tidy(run), "anchor long, part int, doc_id long, row int, start int, windows array<long>")
 
 
 def _repeats(owned: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def _cut(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
                 cols += [pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], [f[0] for f in fresh])
 
-    return docs.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fresh))
+    return docs.mapInArrow(tidy(run), ", ".join(f"{n} {t}" for n, t in fresh))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group: int = GROUP, keep_text: bool = True) -> DataFrame:

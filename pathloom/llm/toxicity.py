@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import ALNUM, extended
+from pathloom.llm.common import ALNUM, extended, tidy
 
 #: Size of the hashed feature space.
 DIMS = 1 << 20
@@ -115,7 +115,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> tuple[l
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "toxic", "features"])
 
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id"), "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), "toxic", "text")
-    found = texts.mapInArrow(run, "doc_id long, toxic int, features binary").dropDuplicates(["doc_id"])
+    found = texts.mapInArrow(tidy(run), "doc_id long, toxic int, features binary").dropDuplicates(["doc_id"])
     got = sorted((r["doc_id"], r["toxic"], bytes(r["features"])) for r in found.toLocalIterator())
     return [np.frombuffer(f, np.int32) for _, _, f in got], np.array([t for _, t, _ in got], int)
 
@@ -182,4 +182,4 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             cols = [sizes, severity, np.where(some, p.argmax(1), 0), toxic, toxic > 0.5]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, (_, _, t) in zip(cols, _FRESH, strict=True))], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
