@@ -47,6 +47,14 @@ def test_punctuation_and_white_space_do_not_hide_a_passage(spark):
     assert (0, 2) in found(spark, [FILL + " | ".join(PLAIN.split()).replace("rivers", '"rivers",\n')])
 
 
+def test_what_stands_before_an_item_does_not_hide_it(spark):
+    item, steps = "What is the capital of France?", "Take 12 apples and then divide them among your friends"
+    before = ["Quiz 3\n", "- ", "* ", "1) ", "he asked ", "End. "]
+    got = found(spark, [b + x for x in (item, item.replace("France", "Ghana"), steps) for b in before], [(1, item), (2, steps)])
+    assert got == {(6 * i + k, j): (n, n, kind) for i, (j, n, kind) in enumerate([(1, 1, "exact"), (1, 1, "variant"), (2, 3, "exact")]) for k in range(6)}
+    assert found(spark, ["so Abuja is the capital of Nigeria"], [(1, item)]) == {}
+
+
 def test_equals_brute_force_on_plain_words(spark):
     rnd = random.Random(8)
     word = lambda: rnd.choice(["alpha", "beta", "gamma", f"w{chr(97 + rnd.randint(0, 25))}{chr(97 + rnd.randint(0, 25))}"])
