@@ -55,6 +55,12 @@ def test_what_stands_before_an_item_does_not_hide_it(spark):
     assert found(spark, ["so Abuja is the capital of Nigeria"], [(1, item)]) == {}
 
 
+def test_windows_of_placeholders_match_word_for_word(spark):
+    items = [(1, "Compute 12 + 7 - 3 * 4"), (2, "Anna Bob Carla Dora Emil Fritz Gustav Hanna Ida Jonas Karl Lena"), (3, "The Old Man And The Sea")]
+    docs = [f"{FILL} so {t} and more" for _, t in items] + [f"{FILL} so {t}" for t in ("Compute 11 + 6 - 2 * 5", "Olga Bob Carla Dora Uwe Fritz Gustav Hanna Ida Paul Karl Lena", "The Young Man And The Tree")]
+    assert found(spark, docs, items) == {(0, 1): (1, 1, "exact"), (1, 2): (5, 5, "exact"), (2, 3): (1, 1, "exact")}
+
+
 def test_equals_brute_force_on_plain_words(spark):
     rnd = random.Random(8)
     word = lambda: rnd.choice(["alpha", "beta", "gamma", f"w{chr(97 + rnd.randint(0, 25))}{chr(97 + rnd.randint(0, 25))}"])
