@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,13 +31,14 @@ NOTICES = {
 }
 #: The words that an identifier tag becomes; an expression follows it on its line.
 TAGS = ("spdx license identifier", "license expression")
-_TAG = re.compile(rb"(?:spdx-license-identifier|license-expression)[ \t]*:[ \t]*([^\r\n]{1,4096})")
+_TAG = re.compile(rb"(?:spdx-license-identifier|license-expression)[ \t]*:")
+_END = re.compile(rb"[\r\n]")
 _PART = re.compile(rb"\(|\)|[a-z0-9.+:-]+")
 _KNOWN = re.compile(r"(mit|apache|gpl|lgpl|agpl|mpl|epl|bsd|isc|cc-by|cc0|unlicense|zlib|bsl|artistic|python|postgresql)(-[a-z0-9.]+)*\+?")
 _ORDER = {"or": 1, "and": 2, "with": 3}
 
 
-def parse_expression(parts: list[str]) -> tuple[list | None, int]:
+def parse_expression(parts: Iterable[str]) -> tuple[list | None, int]:
     """The tree of the longest prefix of parts that is an expression, and that prefix's length; (None, 0) if none is.
 
     with binds tighter than and, and tighter than or. A leaf is ["id", name]; an inner node is [operator, left, right].
@@ -85,13 +86,34 @@ def evaluate(tree: list) -> tuple[set[str], float]:
 
     An identifier of a known family counts 1, any other 0.5; an exception after with doesn't count.
     """
-    op = tree[0]
-    if op == "id":
-        return {tree[1]}, 1.0 if _KNOWN.fullmatch(tree[1]) else 0.5
-    left, right = evaluate(tree[1]), evaluate(tree[2])
-    if op == "with":
-        return left
-    return left[0] | right[0], (max if op == "or" else min)(left[1], right[1])
+    todo, done = [(tree, False)], []
+    while todo:  # no recursion, for a tree is as deep as its expression is long
+        node, ready = todo.pop()
+        op = node[0]
+        if op == "id":
+            done.append(({node[1]}, 1.0 if _KNOWN.fullmatch(node[1]) else 0.5))
+        elif op == "with":
+            todo.append((node[1], False))
+        elif not ready:
+            todo += (node, True), (node[2], False), (node[1], False)
+        else:
+            right, left = done.pop(), done.pop()
+            small, large = sorted((left[0], right[0]), key=len)
+            large |= small
+            done.append((large, (max if op == "or" else min)(left[1], right[1])))
+    return done[0]
+
+
+def expressions(low: bytes) -> Iterator[list]:
+    """The tree of each tagged expression of a lower-cased text; one ends with its line or at the next tag, at the latest."""
+    tags = list(_TAG.finditer(low))
+    for k, tag in enumerate(tags):
+        stop = tags[k + 1].start() if k + 1 < len(tags) else len(low)
+        if line := _END.search(low, tag.end(), stop):
+            stop = line.start()
+        tree, _ = parse_expression(p[0].decode() for p in _PART.finditer(low, tag.end(), stop))
+        if tree:
+            yield tree
 
 
 class Scanner:
@@ -136,12 +158,10 @@ class Scanner:
             else:
                 tagged = True
         if tagged:
-            for found in _TAG.finditer(raw.lower()):
-                tree, _ = parse_expression([p.decode() for p in _PART.findall(found[1])])
-                if tree:
-                    names, sure = evaluate(tree)
-                    more |= names
-                    doubt *= 1 - sure
+            for tree in expressions(raw.lower()):
+                names, sure = evaluate(tree)
+                more |= names
+                doubt *= 1 - sure
         labels = sorted(base | {x for x in more if isinstance(x, str)})
         return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(labels), round(1 - doubt, 6)
 

@@ -54,6 +54,15 @@ def test_evaluation_and_tags():
     assert Scanner().scan("the licence of a mitten")[5:] == ("", 0.0)
 
 
+def test_long_expressions_and_several_tags_on_a_line():
+    names = [f"licenseref-{i:05d}" for i in range(5000)]
+    got = Scanner().scan("SPDX-License-Identifier: " + " OR ".join([*names, "GPL-3.0"]) + "\nx")
+    assert (set(got[5].split(",")), got[6]) == ({*names, "gpl-3.0"}, 1.0)
+    line = "/* SPDX-License-Identifier: MIT */ some code /* SPDX-License-Identifier: GPL-2.0-only OR SPDX-License-Identifier: Zlib"
+    assert Scanner().scan(line)[5] == "gpl-2.0-only,mit,zlib"
+    assert Scanner().scan("SPDX-License-Identifier: " + "(" * 20000 + "MIT" + ")" * 20000)[5] == "mit"
+
+
 def test_table(spark):
     df = documents(spark)
     out = scan(df)
