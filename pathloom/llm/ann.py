@@ -4,6 +4,9 @@ A vector is represented by its nearest pivots, nearest first. Pivot inverted fil
 with its rank there. Candidates are ranked by footrule distance between permutations, in which a pivot beyond the prefix
 stands at the prefix's end, and the best of them are reranked by their exact inner product.
 
+Permutations tell of angles only. So that nearness by angle is nearness by inner product, vectors get one more component
+in the index, which brings all to the length M of the longest: sqrt(M^2 - |v|^2). Queries have 0 there.
+
 The index is kept in blocks of vectors, each with inverted files of its own, and the stated query set meets each block
 once. Every vector is indexed; only the pivots are a sample.
 """
@@ -46,6 +49,12 @@ def _permute(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int16)
 
 
+def _lengthened(x: np.ndarray, longest: float) -> np.ndarray:
+    """The rows, scaled so that none is longer than 1, with the component that makes each as long as 1."""
+    x = x / longest
+    return np.column_stack([x, np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))])
+
+
 def _search_block(queries: pd.DataFrame, block: pd.DataFrame, n_pivots: int, k: int, candidates: int) -> pd.DataFrame:
     """The best k of a block for each query."""
     columns = ["query_id", "vec_id", "score"]
@@ -59,7 +68,7 @@ def _search_block(queries: pd.DataFrame, block: pd.DataFrame, n_pivots: int, k:
     owner, rank = (order // m).astype(np.int32), (order % m).astype(np.int32)
     starts = np.searchsorted(flat[order], np.arange(n_pivots + 1))
     found = []
-    for qid, q, qperm in zip(queries["id"].to_numpy(np.int64), queries["v"], queries["perm"], strict=True):
+    for qid, q, qperm in zip(queries["id"].to_numpy(np.int64), queries["v"], queries["asks"], strict=True):
         near = np.zeros(n, np.int64)
         for r, p in enumerate(np.asarray(qperm).tolist()):
             s = slice(starts[p], starts[p + 1])
@@ -86,25 +95,29 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     good = scratch.save(usable(vectors, id_col, vector_col), "vectors")
     n = good.count()
     sample = good.orderBy(F.xxhash64("id"), "id").limit(4 * pivots).select("v").collect()  # bounded by the parameter
+    # the largest component first, so that no square overflows or vanishes
+    unit = good.agg(F.max(F.expr("array_max(transform(v, x -> abs(x)))"))).first()[0] or 1.0
+    longest = unit * math.sqrt(good.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / unit) * (x / unit)))).first()[0] or 1.0)
     chosen = np.array(list(dict.fromkeys(tuple(r["v"]) for r in sample))[:pivots]) if n else np.zeros((1, 1))
-    chosen = chosen / np.linalg.norm(chosen, axis=1, keepdims=True) if n else chosen
+    chosen = _lengthened(chosen, longest) if n else np.zeros((1, 2))
     m = min(prefix, len(chosen))
     sent = spark.sparkContext.broadcast(chosen)
 
     def with_permutations(frames):
         for f in frames:
-            perm = _permute(np.stack(f["v"].to_numpy()), sent.value, m) if len(f) else []
-            yield f.assign(perm=list(perm))
+            x = np.stack(f["v"].to_numpy()) if len(f) else np.zeros((0, sent.value.shape[1] - 1))
+            own, asks = _permute(_lengthened(x, longest), sent.value, m), _permute(x / longest, sent.value[:, :-1], m)
+            yield f.assign(perm=list(own), asks=list(asks))
 
-    index = scratch.save(good.mapInPandas(with_permutations, "id long, v array<double>, perm array<smallint>"), "index")
+    index = scratch.save(good.mapInPandas(with_permutations, "id long, v array<double>, perm array<smallint>, asks array<smallint>"), "index")
     blocks = max(1, math.ceil(n / block))
     n_queries = index.where(is_query).count()
     query_blocks = max(1, math.ceil(n_queries / query_block))
     per_block = math.ceil((MIN_CANDIDATES + REACH * n**GROWTH) / blocks)
     candidates = n if rerank_all else per_block + math.ceil(3 * math.sqrt(per_block)) + k  # blocks differ by chance
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    held = index.withColumn("vb", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")).withColumn("qb", every(query_blocks))
-    asked = index.where(is_query).withColumn("qb", F.pmod(F.xxhash64("id", F.lit("query")), F.lit(query_blocks)).cast("int")).withColumn("vb", every(blocks))
+    held = index.drop("asks").withColumn("vb", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")).withColumn("qb", every(query_blocks))
+    asked = index.where(is_query).drop("perm").withColumn("qb", F.pmod(F.xxhash64("id", F.lit("query")), F.lit(query_blocks)).cast("int")).withColumn("vb", every(blocks))
     n_pivots = len(chosen)
 
     def cell(queries: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:

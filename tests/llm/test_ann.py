@@ -45,6 +45,20 @@ def test_recall_against_brute_force(spark, blocks):
     assert lists(A.exact(df.where("vec_id < 600"), EVERY)) == brute(ids[:600], x[:600], 20)
 
 
+def test_recall_with_varied_lengths(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64))
+    x *= rng.lognormal(0, 0.5, size=(20_000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(20_000)
+    got = lists(A.search(frame(spark, ids, x), "id % 400 = 0"))
+    hits = 0
+    for q, best in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len({i for i, _ in best} & set(np.argsort(-score)[:20].tolist()))
+    assert len(got) == 50 and hits / (20 * len(got)) >= 0.9
+
+
 def test_copies_tie_by_id(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(3000, 8))
