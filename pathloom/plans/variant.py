@@ -37,12 +37,16 @@ def variant_matches(df: DataFrame, id_col: str, column: str, query: str | Path,
     """(id_col, value): a row for each node of the VARIANT column that query selects; each node once, in no order.
 
     Executes what compat mode does. A descendant step is a recursive query of up to max_depth levels; nodes are told
-    apart by their path from the root, which keeps sets where steps can reach a node twice.
+    apart by their path from the root, which keeps sets where steps can reach a node twice. Spark bounds the rows of a
+    recursive query, which here are the nodes of the whole table, and reads the bound when the query runs; so a descendant
+    step lifts it for the session (spark.sql.cteRecursionRowLimit = -1).
     """
     path = query if isinstance(query, Path) else parse(query)
     check_supported(path)
     spark, view = df.sparkSession, f"variant_{uuid.uuid4().hex[:12]}"
     df.select(id_col, column).createOrReplaceTempView(view)
+    if any(segment.descendant for segment in path.segments):
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     parts, last = [f"s0 AS (SELECT `{id_col}` AS id, '' AS at, `{column}` AS v FROM {view} WHERE `{column}` IS NOT NULL)"], "s0"
     step = "concat(at, '/', coalesce(concat('k', length(e.key), ':', e.key), concat('i', e.pos)))"
     several = False  # whether nodes of one step may lie inside each other

@@ -170,3 +170,13 @@ def test_command_line_on_files(spark, tmp_path, capfd):
         with pytest.raises(SystemExit) as e:
             main(bad)
         assert e.value.code == 2
+
+
+def test_variant_descent_is_not_bounded_by_the_nodes_of_the_table(spark):
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")  # else the table would need a million nodes
+    try:
+        df = spark.range(500).select("id", F.parse_json(F.lit('{"a": {"p": 1}, "b": [{"p": 2}]}')).alias("doc"))
+        assert jsonpath_values(df, "id", "doc", "$..p").count() == 1000
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
