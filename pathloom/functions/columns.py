@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +128,7 @@ class JsonPath:
 
         doc = F.col(doc) if isinstance(doc, str) else doc
         must = self.prefilter(doc) if strict else None
-        # documents without the names don't leave the JVM
+        # documents without the names aren't sent: the function gets a null in their place
         return run(doc) if must is None else F.when(doc.isNotNull() & ~must, null).otherwise(run(F.when(must, doc)))
 
     def count(self, doc: Column | str) -> Column:
@@ -247,6 +249,10 @@ def jsonpath_many(doc: Column | str, queries: dict[str, str], what: str = "count
     compiled = {name: JsonPath.compile(q, **options) for name, q in queries.items()}
     one, arrow = {"count": ("bigint", pa.int64()), "indices": ("array<bigint>", pa.list_(pa.int64())), "spans": (SPAN, pa.list_(pa.struct([("start_idx", pa.int64()), ("end_idx", pa.int64())])))}[what]
     strict = all(q.errors == "raise" for q in compiled.values())
+    doc = F.col(doc) if isinstance(doc, str) else doc
+    # a document that lacks the names of every query matches none, and isn't sent
+    conditions = [q.prefilter(doc) for q in compiled.values()]
+    must = reduce(or_, conditions) if strict and all(c is not None for c in conditions) else None
 
     @F.arrow_udf("struct<" + ",".join(f"`{n}`:{one}" for n in compiled) + ">")
     def run(documents: pa.Array) -> pa.Array:
@@ -263,4 +269,7 @@ def jsonpath_many(doc: Column | str, queries: dict[str, str], what: str = "count
                 cols[n].append(None if s is None else len(s) if what == "count" else [a for a, _ in s] if what == "indices" else [{"start_idx": a, "end_idx": b} for a, b in s])
         return pa.StructArray.from_arrays([pa.array(c, arrow) for c in cols.values()], list(cols))
 
-    return run(doc)
+    if must is None:
+        return run(doc)
+    none = F.struct(*((F.lit(0) if what == "count" else F.array()).cast(one).alias(n) for n in compiled))
+    return F.when(doc.isNotNull() & ~must, none).otherwise(run(F.when(must, doc)))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType, VariantType
 
+from pathloom.automaton import check_supported
 from pathloom.functions.columns import JsonPath
+from pathloom.lang import parse
 from pathloom.lang.ast import Path
 from pathloom.plans.typed import typed_matches
 from pathloom.plans.variant import variant_matches
@@ -38,7 +40,7 @@ def jsonpath_values(df: DataFrame, id_col: str, column: str, query: str | Path)
     """(id_col, value): the matched values as VARIANT, from a typed, VARIANT or text column.
 
     Typed columns are unrolled over their schema, VARIANT columns queried by variant functions; text is scanned, and
-    each matched text parsed (null where it is no valid JSON).
+    each matched text parsed (null where it is no valid JSON). parsed_values() is the way for text that stays in the JVM.
     """
     kind = df.schema[column].dataType
     if isinstance(kind, VariantType):
@@ -50,6 +52,22 @@ def jsonpath_values(df: DataFrame, id_col: str, column: str, query: str | Path)
     raise TypeError(f"no JSON in a column of type {kind.simpleString()}")
 
 
+def parsed_values(df: DataFrame, id_col: str, column: str, query: str | Path) -> DataFrame:
+    """(id_col, value): the same from text that is parsed to VARIANT first, so that no document leaves the JVM.
+
+    Documents that VARIANT can't hold (no valid JSON, or a key repeated) and those that write a key with an escape, which
+    VARIANT decodes, go by the scanner in the same plan. So the rows are those of jsonpath_values(), in no order.
+    """
+    path = query if isinstance(query, Path) else parse(query)
+    check_supported(path)
+    must = JsonPath(path).prefilter(column)
+    df = df.select(id_col, column).where(F.col(column).isNotNull() if must is None else must)
+    # sound: after a key's last escape there is no quote but the one that ends it
+    doc = F.when(~F.col(column).rlike(r'\\.[^"]*"\s*:'), F.try_parse_json(column))
+    found = variant_matches(df.select(id_col, doc.alias("doc")), id_col, "doc", path)
+    return found.unionByName(jsonpath_values(df.where(doc.isNull()), id_col, column, path))
+
+
 def corpus_count(df: DataFrame, column: str, query: str | Path, **options) -> DataFrame:
     """One row, matches: over all documents. Counts are summed before the one shuffle."""
     q = JsonPath.compile(query, **options)

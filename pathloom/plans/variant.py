@@ -1,17 +1,27 @@
-"""Queries over VARIANT columns: variant_get for names and indices, variant_explode for the rest, recursion for descent.
+"""Queries over VARIANT columns: one expression a row, which walks a document level by level.
 
 Values only: a VARIANT keeps neither offsets nor the order of keys as written, so results are rows without order.
 """
 
 from __future__ import annotations
 
-import uuid
+from itertools import takewhile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from pathloom.automaton import check_supported, statically_empty
 from pathloom.lang import parse
-from pathloom.lang.ast import Index, Name, Path, Selector, Slice, Wildcard
+from pathloom.lang.ast import Index, Name, Path, Segment, Selector, Slice, Wildcard
+
+#: States in one word of a node's set of states; it must fit a bigint.
+_WORD = 62
+
+#: The children of the node x as (key, pos, v): key is null for items, pos for members.
+_CHILDREN = """coalesce(
+  transform(map_entries(try_variant_get(x.v, '$', 'map<string,variant>')), e -> struct(e.key AS key, CAST(NULL AS int) AS pos, e.value AS v)),
+  transform(try_variant_get(x.v, '$', 'array<variant>'), (e, i) -> struct(CAST(NULL AS string) AS key, i AS pos, e AS v)),
+  array())"""
 
 
 def _sql(text: str) -> str:
@@ -19,52 +29,75 @@ def _sql(text: str) -> str:
 
 
 def _test(s: Selector) -> str:
-    """A condition on key, pos of an exploded child; key is null for items."""
+    """Whether the child c is selected; never null."""
     if isinstance(s, Wildcard):
         return "true"
     if isinstance(s, Name):
-        return f"e.key = {_sql(s.name)}"
+        return f"c.key <=> {_sql(s.name)}"
     if isinstance(s, Index):
-        return f"e.key IS NULL AND e.pos = {s.index}"
+        return f"c.pos <=> {s.index}"
     assert isinstance(s, Slice)
     if statically_empty(s):
         return "false"
     start = s.start or 0
-    return f"e.key IS NULL AND e.pos >= {start} AND (e.pos - {start}) % {s.step} = 0" + (f" AND e.pos < {s.end}" if s.end is not None else "")
+    return f"coalesce(c.pos >= {start} AND (c.pos - {start}) % {s.step} = 0" + (f" AND c.pos < {s.end}" if s.end is not None else "") + ", false)"
+
+
+def _states_of_child(segments: tuple[Segment, ...], word: int) -> str:
+    """One word of the child's states: state k + 1 where x is in k and the step selects c; k too, if it is a descendant step."""
+    lasting = sum(1 << k % _WORD for k, g in enumerate(segments) if g.descendant and k // _WORD == word)
+    parts = [f"(x.s{word} & {lasting}L)"] if lasting else []
+    for k, g in enumerate(segments):
+        if (k + 1) // _WORD == word:
+            parts.append(f"IF((x.s{k // _WORD} & {1 << k % _WORD}L) <> 0L AND {_test(g.only)}, {1 << (k + 1) % _WORD}L, 0L)")
+    return " | ".join(parts) or "0L"
+
 
+def _is_plain(g: Segment) -> bool:
+    """Whether variant_get can take the step: its paths have no way to quote some names."""
+    s = g.only
+    return not g.descendant and (isinstance(s, Index) or isinstance(s, Name) and bool(s.name) and "'" not in s.name and "\\" not in s.name)
 
-def variant_matches(df: DataFrame, id_col: str, column: str, query: str | Path, max_depth: int = 256) -> DataFrame:
-    """(id_col, value): a row for each node of the VARIANT column that query selects; each node once, in no order.
 
-    Executes what compat mode does. A descendant step is a recursive query of up to max_depth levels; nodes are told
-    apart by their path from the root, which keeps sets where steps can reach a node twice. Spark bounds the rows of a
-    recursive query, which here are the nodes of the whole table, and reads the bound when the query runs; so a descendant
-    step lifts it for the session (spark.sql.cteRecursionRowLimit = -1).
+def _step(g: Segment) -> str:
+    s = g.only
+    return f"[{s.index}]" if isinstance(s, Index) else f"['{s.name}']"
+
+
+def variant_values(column: str, query: str | Path) -> Column:
+    """array<variant>: the values of the nodes that query selects in the named column; each node once.
+
+    Executes what compat mode does. The expression walks a document level by level with the set of states that each node
+    is in, and follows those that are in any; a node that several steps reach is still one. Its work is that of its
+    document: there are at most as many levels as the document has brackets, and only such as hold nodes cost much. The
+    names and indices that a query begins with are taken by one variant_get.
     """
     path = query if isinstance(query, Path) else parse(query)
     check_supported(path)
-    spark, view = df.sparkSession, f"variant_{uuid.uuid4().hex[:12]}"
-    df.select(id_col, column).createOrReplaceTempView(view)
-    if any(segment.descendant for segment in path.segments):
-        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    parts, last = [f"s0 AS (SELECT `{id_col}` AS id, '' AS at, `{column}` AS v FROM {view} WHERE `{column}` IS NOT NULL)"], "s0"
-    step = "concat(at, '/', coalesce(concat('k', length(e.key), ':', e.key), concat('i', e.pos)))"
-    several = False  # whether nodes of one step may lie inside each other
-    for k, segment in enumerate(path.segments, 1):
-        s = segment.only
-        if segment.descendant:
-            parts.append(f"d{k} (id, at, v, hit) MAX RECURSION LEVEL {max_depth} AS (SELECT id, at, v, false FROM {last} UNION ALL SELECT id, {step}, e.value, coalesce({_test(s)}, false) FROM d{k}, LATERAL variant_explode(d{k}.v) AS e)")
-            parts.append(f"s{k} AS (SELECT id, at, {'any_value(v) AS v' if several else 'v'} FROM d{k} WHERE hit {'GROUP BY id, at' if several else ''})")
-            several = True
-        elif isinstance(s, (Name, Index)):
-            # variant_get takes a path of its own; names that it can't quote go by explode
-            if isinstance(s, Index) or "'" not in s.name and "\\" not in s.name and s.name:
-                own = f"$[{s.index}]" if isinstance(s, Index) else f"$['{s.name}']"
-                tail = f"i{s.index}" if isinstance(s, Index) else f"k{len(s.name)}:{s.name}"
-                parts.append(f"s{k} AS (SELECT id, concat(at, '/', {_sql(tail)}) AS at, try_variant_get(v, {_sql(own)}) AS v FROM {last} WHERE try_variant_get(v, {_sql(own)}) IS NOT NULL)")
-            else:
-                parts.append(f"s{k} AS (SELECT id, {step} AS at, e.value AS v FROM {last}, LATERAL variant_explode({last}.v) AS e WHERE {_test(s)})")
-        else:
-            parts.append(f"s{k} AS (SELECT id, {step} AS at, e.value AS v FROM {last}, LATERAL variant_explode({last}.v) AS e WHERE {_test(s)})")
-        last = f"s{k}"
-    return spark.sql(f"WITH RECURSIVE {', '.join(parts)} SELECT id AS `{id_col}`, v AS value FROM {last}")
+    own = "`" + column.replace("`", "``") + "`"
+    lead = list(takewhile(_is_plain, path.segments))
+    doc = f"try_variant_get({own}, {_sql('$' + ''.join(map(_step, lead)))})" if lead else own
+    segments = path.segments[len(lead) :]
+    if not segments:
+        return F.expr(f"CASE WHEN {own} IS NULL THEN NULL WHEN {doc} IS NULL THEN CAST(array() AS array<variant>) ELSE array({doc}) END")
+    n = len(segments)
+    words, last, bit = range(n // _WORD + 1), n // _WORD, 1 << n % _WORD
+    any_state = " OR ".join(f"k.s{w} <> 0L" for w in words)
+    more_to_come = " OR ".join(f"(k.s{w} & {~bit if w == last else -1}L) <> 0L" for w in words)
+    sets = ", ".join(f"{_states_of_child(segments, w)} AS s{w}" for w in words)
+    kids = f"filter(flatten(transform(a.here, x -> transform({_CHILDREN}, c -> struct({sets}, c.v AS v)))), k -> {any_state})"
+    kind = f"array<struct<{','.join(f's{w}:bigint' for w in words)},v:variant>>"
+    root = ", ".join(f"{int(w == 0)}L AS s{w}" for w in words)
+    # brackets inside strings count too, which only makes the bound larger
+    levels = f"length(to_json({doc})) - length(translate(to_json({doc}), '[{{', ''))" if any(g.descendant for g in segments) else str(n)
+    return F.expr(f"""CASE WHEN {own} IS NULL THEN NULL WHEN {doc} IS NULL THEN CAST(array() AS array<variant>) ELSE aggregate(sequence(1, greatest(1, {levels})),
+      struct(CAST(array(struct({root}, {doc} AS v)) AS {kind}) AS here, CAST(array() AS array<variant>) AS found),
+      (a, level) -> transform(array({kids}), ks -> struct(
+        filter(ks, k -> {more_to_come}) AS here,
+        concat(a.found, transform(filter(ks, k -> (k.s{last} & {bit}L) <> 0L), k -> k.v)) AS found))[0],
+      a -> a.found) END""")
+
+
+def variant_matches(df: DataFrame, id_col: str, column: str, query: str | Path) -> DataFrame:
+    """(id_col, value): a row for each node of the VARIANT column that query selects; each node once, in no order."""
+    return df.select(id_col, F.explode(variant_values(column, query)).alias("value"))

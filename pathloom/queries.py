@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import JsonPath, jsonpath_many, register
 from pathloom.operators.nodes import node_table, select_nodes
-from pathloom.plans.table import corpus_count, jsonpath_table, jsonpath_values
+from pathloom.plans.table import corpus_count, jsonpath_table, jsonpath_values, parsed_values
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,6 +138,8 @@ _q("variant_child", f"WITH {_L} SELECT o, p AS value FROM l WHERE i = 1")(lambda
 _q("variant_wildcard", f"WITH {_L} SELECT o, v AS value FROM (SELECT o, p v FROM l UNION ALL SELECT o, n FROM l)")(lambda s, d: _numbers(jsonpath_values(_parsed(s, d), "o", "doc", "$.lines[*].*")))
 _q("variant_slice", f"WITH {_L} SELECT o, p AS value FROM l WHERE i IN (1, 3)")(lambda s, d: _numbers(jsonpath_values(_parsed(s, d), "o", "doc", "$.lines[1:4:2].p")))
 _q("variant_descendant", f"WITH {_L} SELECT o, p AS value FROM l")(lambda s, d: _numbers(jsonpath_values(_parsed(s, d), "o", "doc", "$..lines..p")))
+_q("parsed_descendant", f"WITH {_L} SELECT o, p AS value FROM l")(lambda s, d: _numbers(parsed_values(order_docs(s, d), "o", "json", "$..lines..p")))
+_q("parsed_wildcard", f"WITH {_C} SELECT c, o AS value FROM g UNION ALL SELECT c, p FROM cl")(lambda s, d: parsed_values(customer_docs(s, d), "c", "json", "$.os[*]..*").select("c", F.try_variant_get("value", "$", "bigint").alias("value")).where("value IS NOT NULL"))
 _q("typed_child", f"WITH {_L} SELECT o, p AS value FROM l WHERE i = 1")(lambda s, d: _numbers(jsonpath_values(order_structs(s, d), "o", "doc", "$.lines[1].p")))
 _q("typed_slice", f"WITH {_L} SELECT o, n::BIGINT AS value FROM l WHERE i % 2 = 1")(lambda s, d: _numbers(jsonpath_values(order_structs(s, d), "o", "doc", "$.lines[1::2].n")))
 _q("typed_descendant", f"WITH {_L} SELECT o, n::BIGINT AS value FROM l UNION ALL SELECT o, count(*) FROM l GROUP BY o")(lambda s, d: _numbers(jsonpath_values(order_structs(s, d), "o", "doc", "$..n")))
@@ -173,3 +175,4 @@ def _sql(s: SparkSession, d: str, text: str) -> DataFrame:
 
 _q("sql_count", f"WITH {_L} SELECT o, count(*)::BIGINT matches FROM l GROUP BY o")(lambda s, d: _sql(s, d, "SELECT o, jsonpath_count(json, '$.lines[*]') AS matches FROM {docs}"))
 _q("sql_udtf", f"WITH {_L} SELECT o, i::INT seq, p AS value FROM l")(lambda s, d: _sql(s, d, "SELECT o, n.seq, CAST(n.value AS bigint) AS value FROM {docs}, LATERAL jsonpath_nodes(json, '$..p') AS n"))
+_q("sql_matches", f"WITH {_L} SELECT o, i::INT seq, p AS value FROM l")(lambda s, d: _sql(s, d, "SELECT o, seq, CAST(value AS bigint) AS value FROM {docs} LATERAL VIEW inline(jsonpath_matches(json, '$..p')) n AS seq, start_idx, end_idx, kind, value"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import JsonPath, jsonpath_count, jsonpath_indices, jsonpath_many, jsonpath_nodes, jsonpath_spans, register
 from pathloom.operators.nodes import node_table, select_nodes
-from pathloom.plans import jsonpath_table, jsonpath_values, typed_matches
+from pathloom.plans import jsonpath_table, jsonpath_values, parsed_values, typed_matches
 from pathloom.plans.table import corpus_count
 from pathloom.sources import collect, discard, from_stdin, from_strings, read_documents, write_matches
 from pathloom.streaming import start_matches
@@ -49,6 +49,29 @@ def test_variant_gives_the_same_values(spark, docs, query):
     assert sorted((r.id, r.v) for r in jsonpath_values(parsed, "id", "v", query).select("id", F.to_json("value").alias("v")).collect()) == text
 
 
+PARSED = [*DOCS, '{"a":1,"a":{"b":2}}', '{"\\u0062":1,"b":2}', '{"b":"\\"c\\": d","\\"b":{"b":3}}', '{"b" : [null, true, {}, []]}', "null", '{"b":{"b":{"b":{"b":0}}}}']
+
+
+@pytest.mark.parametrize("query", [*PATHS, "$..b..b", "$..b..*", "$.b.b", "$..[0]..b", "$.b[1:3]", "$['']"])
+def test_parsed_text_gives_the_same_values(spark, query):
+    df = spark.createDataFrame(list(enumerate(PARSED)), "id int, json string")
+    kept = lambda rows: sorted((r.id, r.v) for r in rows.select("id", F.coalesce(F.to_json("value"), F.lit("?")).alias("v")).collect())
+    assert kept(parsed_values(df, "id", "json", query)) == kept(jsonpath_values(df, "id", "json", query))
+
+
+def test_parsed_text_stays_in_the_jvm_where_variant_can_hold_it(spark):
+    plan = parsed_values(spark.createDataFrame([(1, "{}")], "id int, json string"), "id", "json", "$..b")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # of the two branches, that of the documents that it can't
+
+
+def test_variant_paths_of_more_steps_than_a_word_of_states(spark):
+    for depth in (61, 62, 63, 130):
+        text = '{"a":' * depth + "1" + "}" * depth
+        df = spark.createDataFrame([(1, text)], "id int, json string").select("id", F.parse_json("json").alias("v"))
+        for query, n in (("$" + "[*]" * depth, 1), ("$" + "..a" * depth, 1), ("$..*" + "[*]" * (depth - 1), 1), ("$" + "[*]" * depth + "..*", 0)):
+            assert jsonpath_values(df, "id", "v", query).count() == n, (depth, query)
+
+
 TYPE = "struct<a:array<struct<b:int,c:array<int>>>,m:map<string,struct<b:int>>,b:int>"
 TYPED = ['{"a":[{"b":1,"c":[1,2,3]},{"b":2,"c":[4]},{"b":3,"c":[5,6]}],"m":{"x":{"b":7}},"b":8}', '{"b":9}']
 
