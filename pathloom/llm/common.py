@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all machines see: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
+    """The folder all machines see: spark.checkpoint.dir. Where that is unset and Spark is one machine, as in tests, a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         root = f"file://{tempfile.mkdtemp(prefix='pathloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -95,6 +97,37 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str, limit: int = BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", how).select(*docs.columns)
 
 
+#: Rows of one key that a task may get in a join before the key is dealt to several; and such keys, at most.
+KEY_ROWS, HEAVY_KEYS = 1_000, 100_000
+
+
+def heavy_limit(total: int) -> int:
+    """Rows beyond which a key is heavy, of total rows: so there are never more than HEAVY_KEYS heavy ones."""
+    return max(KEY_ROWS, total // HEAVY_KEYS)
+
+
+def heavy_keys(rows: DataFrame, on: list[str], scratch: Scratch) -> DataFrame:
+    """(on, parts): the keys that rows has too often, and the number of parts to deal each to; at most HEAVY_KEYS rows."""
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    limit = heavy_limit(rows.count())
+    return scratch.save(counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("parts")), "heavy")
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """many joined with one (inner, left or left_semi), where a key that heavy names is dealt to several tasks.
+
+    Rows of many are dealt by a hash of their other columns, and one's rows of such a key go to each part: no more copies
+    than many has rows to fill them. heavy is stored, has no null keys, and its size is bounded (see heavy_keys).
+    """
+    if heavy.isEmpty():
+        return many.join(one, on, how)
+    parts = F.broadcast(heavy.select(*on, "parts"))
+    others = [c for c in many.columns if c not in on] or on
+    many = many.join(parts, on, "left").withColumn("_part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(*others), F.col("parts"))).otherwise(0).cast("int")).drop("parts")
+    one = one.join(parts, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+    return many.join(one, [*on, "_part"], how).drop("_part")
+
+
 def wide_hash(*cols) -> tuple:
     """Two independent 64-bit hashes, for use as one 128-bit key."""
     return F.xxhash64(*cols), F.xxhash64(*cols, F.lit("\x01second"))

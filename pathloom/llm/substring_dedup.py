@@ -2,9 +2,11 @@
 
 Seeds are winnowed anchors: of the runs of ANCHOR words in any window, the one of smallest hash. A passage of a
 window's length that stands in two documents selects the same anchor in both, so a window can repeat only where its
-anchor does. Around the anchors that several documents share, each window's words are compared: matching windows extend
-an anchor to both sides, and the union of the windows that match an earlier document is the maximal repeat. Comparisons
-go through the smallest doc_id of each window, not through pairs of documents, so a passage in n documents costs n rows.
+anchor does: documents are joined on their anchors. Around a shared anchor a match is extended to both sides, as far as
+the windows reach that select the anchor; further on the next anchor takes over. The extension of an anchor to so many
+words left and right is equal in two documents if the hashes of the windows there are, so the documents of a group are
+extended all together, by hash, and not pair by pair, which would cost the square of the group. The union of the windows
+that an earlier document has is the set of maximal repeats. A passage in n documents costs n rows.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch, tidy
+from pathloom.llm.common import Scratch, heavy_limit, spread_join, tidy
 from pathloom.llm.shingles import SECOND, WordHashes, runs
 
 #: Words in a window, and in an anchor.
 WINDOW, ANCHOR = 13, 5
-#: Documents that share an anchor and meet in one group, about; more are dealt to several groups first.
-GROUP = 1_000
+#: Windows of a shared anchor that meet in one group, about; more are dealt to several groups first, by document.
+GROUP = 10_000
 
 
 def _selected(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,107 +41,102 @@ def _words(text) -> list[bytes]:
 
 
 def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, doc_id): the distinct anchors of each row of docs (doc_id, text)."""
+    """(anchor, doc_id, places): the distinct anchors of each row of docs (doc_id, text), and how many windows select each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            found, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            found, ids, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for doc, text in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), strict=True):
                 words = _words(text)
                 if len(words) >= window:
                     g, at = _selected(memo.of(words), window, anchor)
-                    got = np.unique(g[np.unique(at)]).view(np.int64)
-                    found.append(got)
+                    got, n = np.unique(g[at], return_counts=True)
+                    found.append(got.view(np.int64))
                     ids.append(np.full(len(got), doc, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], ["anchor", "doc_id"])
+                    places.append(n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found, ids, places)], ["anchor", "doc_id", "places"])
 
-    return docs.mapInArrow(tidy(run), "anchor long, doc_id long")
+    return docs.mapInArrow(tidy(run), "anchor long, doc_id long, places int")
 
 
-def _owned(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Of docs (doc_id, text, shared, part, row): a row for each shared anchor's place, with the windows that select it.
+def _extensions(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Of docs (doc_id, text, shared, part): (anchor, part, doc_id, windows) for each shared anchor of each row.
 
-    (anchor, part, doc_id, row, start, windows): part is what shared and part, two lists, say of the anchor; row is a
-    hash of the text, start the first of these windows, and windows holds the hash of each.
+    part is what shared and part, two lists, say of the anchor. windows holds the hashes of the windows that select the
+    anchor, each once however often the text repeats it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            hashes, ends = [np.empty(0, np.int64)], [0]
-            for doc, text, shared, part, row in zip(batch.column(0).to_numpy(zero_copy_only=False), *(batch.column(k) for k in range(1, 5)), strict=True):
+            cols: list[list] = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]]
+            hashes, sizes = [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
+            for doc, text, shared, part in zip(batch.column(0).to_numpy(zero_copy_only=False), *(batch.column(k) for k in range(1, 4)), strict=True):
                 words = _words(text)
                 if len(words) < window:
                     continue
                 h = memo.of(words)
-                g, at = _selected(h, window, anchor)
-                g = g.view(np.int64)
-                begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                end = np.append(begin[1:], len(at))
-                seeds = g[at[begin]]
                 known, parts = shared.values.to_numpy(), part.values.to_numpy()
                 order = np.argsort(known, kind="stable")
                 known, parts = known[order], parts[order]
-                where = np.minimum(np.searchsorted(known, seeds), len(known) - 1)
-                use = known[where] == seeds
-                if not use.any():
+                g, at = _selected(h, window, anchor)
+                seed = g[at].view(np.int64)
+                use = known[np.minimum(np.searchsorted(known, seed), len(known) - 1)] == seed
+                seed, w = seed[use], runs(h, window, SECOND).view(np.int64)[use]
+                if not len(seed):
                     continue
-                begin, end, seeds, where = begin[use], end[use], seeds[use], where[use]
-                w = runs(h, window, SECOND).view(np.int64)
-                n = end - begin
-                hashes.append(w[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())])
-                ends.extend((np.cumsum(n) + ends[-1]).tolist())
-                cols[0].append(seeds)
-                cols[1].append(parts[where])
-                cols[2].append(np.full(len(n), doc, np.int64))
-                cols[3].append(np.full(len(n), row.as_py(), np.int32))
-                cols[4].append(begin.astype(np.int32))
-            kinds = (np.int64, np.int32, np.int64, np.int32, np.int32)
-            flat = [pa.array(np.concatenate(c) if c else np.empty(0, k)) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*flat, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes)))], ["anchor", "part", "doc_id", "row", "start", "windows"])
-
-    return docs.mapInArrow(tidy(run), "anchor long, part int, doc_id long, row int, start int, windows array<long>")
-
-
-def _repeats(owned: DataFrame) -> DataFrame:
-    """(doc_id, row, start, mask) of the windows that an earlier document has: bit i of mask is the window start + i.
+                order = np.lexsort((w, seed))
+                seed, w = seed[order], w[order]
+                fresh = np.concatenate(([True], (seed[1:] != seed[:-1]) | (w[1:] != w[:-1])))
+                seed, w = seed[fresh], w[fresh]
+                begin = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1])))
+                hashes.append(w)
+                sizes.append(np.diff(np.append(begin, len(seed))))
+                cols[0].append(seed[begin])
+                cols[1].append(parts[np.searchsorted(known, seed[begin])])
+                cols[2].append(np.full(len(begin), doc, np.int64))
+            windows = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(hashes)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), windows], ["anchor", "part", "doc_id", "windows"])
+
+    return docs.mapInArrow(tidy(run), "anchor long, part int, doc_id long, windows array<long>")
+
+
+def _repeats(extensions: DataFrame) -> DataFrame:
+    """(doc_id, w): the windows of each document that an earlier document has too.
 
     Windows meet in groups of an anchor's part. What has an earlier document there is decided. What has not, and belongs
     to an anchor of several parts, meets once more by window: one document of each part at most, however many have it.
     """
-    bit = F.bit_or(F.expr("CAST(shiftleft(1, i) AS int)")).alias("mask")  # of rows that repeat, each sets the same bits
 
     def met(rows: DataFrame) -> DataFrame:
-        each = rows.repartition("anchor", "part").select("anchor", "part", "doc_id", "row", "start", F.posexplode("windows").alias("i", "w"))
+        each = rows.repartition("anchor", "part").select("anchor", "part", "doc_id", F.explode("windows").alias("w"))
         return each.withColumn("first", F.expr("min(doc_id) OVER (PARTITION BY anchor, part, w)"))
 
-    decided = met(owned).where("first < doc_id").groupBy("anchor", "part", "doc_id", "row", "start").agg(bit)
-    undecided = met(owned.where("part >= 0")).where("first = doc_id").drop("first")
+    decided = met(extensions).where("first < doc_id").select("doc_id", "w")
+    undecided = met(extensions.where("part >= 0")).where("first = doc_id").drop("first")
     later = undecided.withColumn("first", F.expr("min(doc_id) OVER (PARTITION BY anchor, w)")).where("first < doc_id")
-    return decided.select("doc_id", "row", "start", "mask").unionByName(later.groupBy("doc_id", "row", "start").agg(bit))
+    return decided.unionByName(later.select("doc_id", "w"))
 
 
 def _cut(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """Removes the words that the windows in docs (doc_id, text, row, repeats) cover."""
+    """Removes the words that the windows in docs (doc_id, text, repeats) cover."""
     fresh = [("doc_id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), *([("kept_text", "string"), ("spans", "array<struct<first:int,last:int>>")] if keep_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
         for batch in batches:
             n_words, n_removed, digest, texts, spans = [], [], [], [], []
-            for text, row, repeats in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+            for text, repeats in zip(batch.column(1), batch.column(2), strict=True):
                 words = _words(text)
                 n_words.append(len(words))
                 gone = np.zeros(len(words) + 1, np.int32)
-                if repeats.is_valid:
-                    found = repeats.values.flatten()
-                    mine = found[0].to_numpy() == row.as_py()
-                    start, mask = found[1].to_numpy()[mine], found[2].to_numpy()[mine]
-                    for i in range(31):
-                        at = start[(mask >> i & 1) == 1] + i
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + window, -1)
+                if repeats.is_valid and len(words) >= window:
+                    found = np.sort(repeats.values.to_numpy())
+                    w = runs(memo.of(words), window, SECOND).view(np.int64)
+                    hit = found[np.minimum(np.searchsorted(found, w), len(found) - 1)] == w
+                    gone[: len(w)] += hit
+                    gone[window : window + len(w)] -= hit
                 covered = np.cumsum(gone[:-1]) > 0
                 lost = int(covered.sum())
                 n_removed.append(lost)
@@ -163,8 +160,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     Words are separated by ASCII white space. A word goes when a window over it also starts in a row of smaller doc_id;
     windows are judged on the input. spans lists the maximal runs of words that went. Rows that repeat a doc_id are
     judged each by its own text, against smaller ids only. A row whose doc_id is null is returned whole and matches
-    nothing. A null or empty text has no words. Other columns are ignored. A window may own up to 31 places, so window
-    must be at most anchor + 30.
+    nothing. A null or empty text has no words. Other columns are ignored.
+    window must be from anchor to anchor + 30.
     """
     if not anchor <= window <= anchor + 30:
         raise ValueError("window must be from anchor to anchor + 30")
@@ -172,17 +169,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     known, unknown = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
     seeds = scratch.save(anchors(known, window, anchor), "anchors")
-    shared = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    part = F.when(F.col("n") <= group, -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / group))).cast("int")
-    of_doc = scratch.save(seeds.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"), F.collect_list(part).alias("part")), "shared")
-    scratch.drop(seeds)
+    # a document's windows of an anchor stay together, so groups are dealt by document
+    shared = scratch.save(seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("places").alias("p")).where("n > 1"), "several")
+    limit = heavy_limit(seeds.count())
+    heavy = scratch.save(shared.where(F.col("n") > limit).select("anchor", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "heavy")
+    part = F.when(F.col("p") <= group, -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("p") / group))).cast("int")
+    of_doc = spread_join(seeds.drop("places"), shared.select("anchor", "p"), ["anchor"], heavy).groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"), F.collect_list(part).alias("part"))
+    of_doc = scratch.save(of_doc, "shared")
+    scratch.drop(seeds, shared, heavy)
     scratch.release()
-    row = F.hash(F.coalesce("text", F.lit("")))
-    owned = scratch.save(_owned(known.join(of_doc, "doc_id").withColumn("row", row).select("doc_id", "text", "shared", "part", "row"), window, anchor), "windows")
+    extensions = scratch.save(_extensions(known.join(of_doc, "doc_id").select("doc_id", "text", "shared", "part"), window, anchor), "extensions")
     scratch.drop(of_doc)
     scratch.release()
-    repeats = scratch.save(_repeats(owned).groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "mask")).alias("repeats")), "repeats")
-    scratch.drop(owned)
+    repeats = scratch.save(_repeats(extensions).groupBy("doc_id").agg(F.collect_list("w").alias("repeats")), "repeats")
+    scratch.drop(extensions)
     scratch.release()
-    whole = known.join(repeats, "doc_id", "left").select("doc_id", "text", row.alias("row"), "repeats")
-    return _cut(whole.unionByName(unknown.select("doc_id", "text", row.alias("row"), F.lit(None).cast("array<struct<row:int,start:int,mask:int>>").alias("repeats"))), window, keep_text)
+    whole = known.join(repeats, "doc_id", "left").select("doc_id", "text", "repeats")
+    return _cut(whole.unionByName(unknown.select("doc_id", "text", F.lit(None).cast("array<long>").alias("repeats"))), window, keep_text)
