@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch, by_ids, tidy
+from pathloom.llm.common import Scratch, by_ids, heavy_keys, heavy_limit, spread_join, tidy
 from pathloom.llm.components import components
 from pathloom.llm.shingles import U, WordHashes, mix, shingle_set
 
@@ -31,6 +31,8 @@ HALF = 3
 MISS = 5e-4
 #: Rows of table keys that a task makes, about; and tasks that make them, at most.
 KEYS_A_TASK, KEY_TASKS = 1_000_000, 100_000
+#: One class in so many, by hash, tells which table keys are common; these take another way to the same rows.
+PROBE = 32
 
 
 def half_bands(percent: int, half: int = HALF, miss: float = MISS) -> int:
@@ -88,40 +90,73 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b), stored, whose sets have 100 * intersection >= percent * union. A document of many pairs is dealt to several tasks."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    met = pairs.join(left, "a").join(right, "b").where(100 * small >= percent * large)
+    with_a = spread_join(pairs, left, ["a"], heavy_keys(pairs, ["a"], scratch))
+    met = spread_join(with_a, right, ["b"], heavy_keys(pairs, ["b"], scratch)).where(100 * small >= percent * large)
     both = F.size(F.array_intersect("sa", "sb"))
-    return met.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    return met.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def _members(classes: DataFrame, m: int, scratch: Scratch) -> DataFrame:
+    """(key, rep, a, n) for each class and table key that several classes have: a is the smallest of these, n their number.
+
+    Keys are dealt by hash once. A common key would send its classes to one task, so such keys are told beforehand, by
+    one class in PROBE, and go by an aggregation that shrinks before it is dealt and a join with a table of at most
+    HEAVY_KEYS rows. A common key that the probe misses only makes its task longer.
+    """
+    n_classes = classes.count()
+    # each class becomes m * m rows: not in the few tasks that read so small a table
+    tasks = min(KEY_TASKS, math.ceil((n_classes + 1) * m * m / KEYS_A_TASK))
+    tables = F.expr(f"transform(sequence(0, {m * m - 1}), t -> xxhash64(t, bands[CAST(t DIV {m} AS int)], bands[CAST({m} + t % {m} AS int)]))")
+    every = lambda of: of.select("rep", F.explode(tables).alias("key"))
+    probed = every(classes.where(F.pmod(F.xxhash64("rep", F.lit("probe")), F.lit(PROBE)) == 0))
+    often = heavy_limit(n_classes * m * m) // PROBE + 1
+    heavy = scratch.save(probed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > often).select("key"), "common")
+    keys = every(classes.repartition(tasks, "rep"))
+    some = not heavy.isEmpty()
+    dealt = keys.join(F.broadcast(heavy), "key", "left_anti") if some else keys
+    over = "OVER (PARTITION BY key)"
+    members = dealt.select("key", "rep", F.expr(f"min(rep) {over}").alias("a"), F.expr(f"count(1) {over}").alias("n")).where("n > 1")
+    if some:
+        common = keys.join(F.broadcast(heavy), "key")
+        sizes = common.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")  # at most a row for each of heavy
+        members = members.unionByName(common.join(F.broadcast(sizes), "key").select("key", "rep", "a", "n"))
+    return scratch.save(members, "members")
 
 
 def _left_apart(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
     """Pairs of documents that share a bucket but no component, by a prefix filter; None if there are none.
 
-    members: (key, rep) of the buckets with more than two documents. The shingles of the documents concerned are ordered
+    members: those of the buckets with more than two documents. The shingles of the documents concerned are ordered
     from rare to common among these documents. A pair at the threshold shares one of the first n - ceil(t * n) + 1.
     """
-    labelled = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    torn = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    apart = scratch.save(labelled.join(torn, "key", "left_semi").select("rep", "component").distinct(), "apart")
-    if apart.isEmpty():
+    labelled = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    torn = scratch.save(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("n").alias("n")).where("x <> y").select("key", "n"), "torn")
+    if torn.isEmpty():
         return None
+    limit = heavy_limit(members.count())
+    heavy = scratch.save(torn.where(F.col("n") > limit).select("key", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "heavy")
+    apart = scratch.save(spread_join(labelled, torn.select("key"), ["key"], heavy, "left_semi").select("rep", "component").distinct(), "apart")
     held = apart.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
-    each = held.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("x"), F.max("component").alias("y"))
-    ranked = each.join(often, "s").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "s", (F.col("x") != F.col("y")).alias("torn")))).alias("order"))
+    each = scratch.save(held.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "each")
+    often = scratch.save(each.groupBy("s").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("x"), F.max("component").alias("y")), "often")
+    limit = heavy_limit(each.count())
+    heavy = scratch.save(often.where(F.col("often") > limit).select("s", F.ceil(F.col("often") / limit).cast("int").alias("parts")), "heavy")
+    ranked = spread_join(each, often, ["s"], heavy).groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "s", (F.col("x") != F.col("y")).alias("torn")))).alias("order"))
     t = Fraction(percent, 100)
     prefix = F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator - 1e-9) + 1
     first = ranked.select("rep", "component", "n", F.posexplode(F.slice("order", F.lit(1), prefix.cast("int"))).alias("i", "o")).where("o.torn").select("rep", "component", "n", "i", "o.s")
     first = scratch.save(first, "prefix")
+    scratch.drop(each, often)
     a, b = (first.select(F.col("s"), *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "n", "i"))) for k in "ab")
     # the first shingle that a pair shares, and those after it, bound what it can share in all
     enough = (100 + percent) * F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= percent * (F.col("n_a") + F.col("n_b"))
     near = enough & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") < F.col("rep_b"))
-    return a.join(b, "s").where(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    return spread_join(a, b, ["s"], heavy_keys(first, ["s"], scratch)).where(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -138,33 +173,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     scratch, m = Scratch(spark, "neardup"), half_bands(percent)
     sig = scratch.save(signatures(docs, words, m), "signatures")
     takes_part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    classes = scratch.save(sig.where(takes_part).groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-
-    # each class becomes m * m rows: not in the few tasks that read so small a table
-    tasks = min(KEY_TASKS, math.ceil((classes.count() + 1) * m * m / KEYS_A_TASK))
-    tables = F.expr(f"transform(sequence(0, {m * m - 1}), t -> xxhash64(t, bands[CAST(t DIV {m} AS int)], bands[CAST({m} + t % {m} AS int)]))")
-    keys = classes.repartition(tasks, "rep").select("rep", F.explode(tables).alias("key"))
-    buckets = scratch.save(keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = scratch.save(keys.join(buckets.where("n > 2").select("key", "a"), "key"), "members")
-    pairs = scratch.save(buckets.where("a <> b").select("a", "b").union(members.where("rep <> a").select("a", F.col("rep").alias("b"))).distinct(), "pairs")
+    classes = scratch.save(sig.where(takes_part).groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "classes")
+    sig_of = sig.select("doc_id", "n_shingles", "c1", "c2")
+    limit = heavy_limit(sig.count())
+    heavy = scratch.save(classes.where(F.col("n") > limit).select("c1", "c2", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "heavy")
 
+    members = _members(classes, m, scratch)
+    pairs = scratch.save(members.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     sets = scratch.save(shingle_sets(by_ids(docs.select(F.col("doc_id").cast("long"), "text"), ids, "left_semi"), words), "sets")
     # rows that repeat a doc_id link its classes
-    same = sig.where(takes_part).join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    repeated = same.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where("x <> y").select("a")
-    links = scratch.save(_confirmed(pairs, sets, percent).union(same.join(repeated, "a", "left_semi").where("a <> b")), "links")
+    repeated = sig_of.where(takes_part).groupBy("doc_id").agg(F.min(F.struct("c1", "c2")).alias("x"), F.max(F.struct("c1", "c2")).alias("y")).where("x <> y").select("doc_id")
+    same = sig_of.where(takes_part).join(scratch.save(repeated, "repeated"), "doc_id", "left_semi").select("doc_id", "c1", "c2").distinct().join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    links = scratch.save(_confirmed(pairs, sets, percent, scratch).union(same), "links")
+    scratch.drop(pairs, ids)
     labels = components(links, scratch)
-    if (more := _left_apart(members, labels, sets, percent, scratch)) is not None:
-        fresh = scratch.save(_confirmed(more, sets, percent), "fresh")
+    if (more := _left_apart(members.where("n > 2"), labels, sets, percent, scratch)) is not None:
+        more = scratch.save(more, "more")
+        fresh = scratch.save(_confirmed(more, sets, percent, scratch), "fresh")
         if not fresh.isEmpty():
-            links = scratch.save(links.union(fresh), "links")
-            labels = components(links, scratch)
-    scratch.drop(members, sets, pairs, buckets)
+            scratch.drop(labels)
+            labels = components(links.union(fresh), scratch)
+        scratch.drop(more, fresh)
+    scratch.drop(members, sets, links)
     by_class = scratch.save(classes.select("c1", "c2", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component")), "found")
-    found = sig.join(by_class, ["c1", "c2"], "left")
-    component = F.when(takes_part, F.col("component")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    scratch.drop(classes, labels)
+    found = spread_join(sig_of.where(takes_part), by_class, ["c1", "c2"], heavy).select("doc_id", "n_shingles", "component")
+    alone = sig_of.where(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    return found.unionByName(alone).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

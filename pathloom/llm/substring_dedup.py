@@ -25,7 +25,7 @@ from pathloom.llm.shingles import SECOND, WordHashes, runs
 #: Words in a window, and in an anchor.
 WINDOW, ANCHOR = 13, 5
 #: Windows of a shared anchor that meet in one group, about; more are dealt to several groups first, by document.
-GROUP = 10_000
+GROUP = 2_000
 
 
 def _selected(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:

@@ -143,3 +143,34 @@ def test_rows_by_ids_either_way(spark, limit):
     assert sorted(r.doc_id for r in by_ids(df, ids, "left_semi", limit).collect()) == [6, 6, 8, 8]
     assert by_ids(df, ids, "left_anti", limit).count() == len(DOCS) - 4
     assert by_ids(df, ids, "left_anti", limit).columns == df.columns
+
+
+def test_common_keys_and_hot_groups_give_the_same_rows(spark, monkeypatch):
+    from pathloom.llm import common
+
+    monkeypatch.setattr(common, "KEY_ROWS", 4)  # so that groups of this size count as hot
+    monkeypatch.setattr(N, "PROBE", 2)
+    rnd, rows = random.Random(31), []
+    base = text(rnd, 90)
+    for _ in range(60):  # each differs from all others, and not all are alike enough
+        copy = base[:]
+        for _ in range(rnd.randint(0, 9)):
+            copy[rnd.randrange(len(copy))] = f"e{rnd.randint(0, 9999)}"
+        rows.append((len(rows), " ".join(copy)))
+    rows += [(100 + i, " ".join(base)) for i in range(30)] + [(200 + i, " ".join(text(rnd, 30))) for i in range(30)] + [(300 + i, None) for i in range(20)]
+    comp = check(spark, rows, 3, 85)
+    assert 32 < len(set(comp.values())) < len(comp)
+
+
+def test_spread_join_loses_and_repeats_nothing(spark, monkeypatch):
+    from pathloom.llm import common
+
+    monkeypatch.setattr(common, "KEY_ROWS", 3)
+    scratch = Scratch(spark, "spread")
+    many = scratch.save(spark.createDataFrame([(k % 7 if k % 3 else 0, k % 50) for k in range(300)] + [(None, 1), (99, 2)], "k int, v int"))
+    one = spark.createDataFrame([(k, c) for k in (0, 1, 2, 3, 50) for c in "ab"], "k int, c string")
+    heavy = common.heavy_keys(many.where("k IS NOT NULL"), ["k"], scratch)
+    assert heavy.count() > 3
+    for how in ("inner", "left", "left_semi"):
+        want = sorted(map(tuple, many.join(one, "k", how).collect()), key=repr)
+        assert sorted(map(tuple, common.spread_join(many, one, ["k"], heavy, how).collect()), key=repr) == want
