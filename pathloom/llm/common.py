@@ -106,18 +106,22 @@ def heavy_limit(total: int) -> int:
     return max(KEY_ROWS, total // HEAVY_KEYS)
 
 
-def heavy_keys(rows: DataFrame, on: list[str], scratch: Scratch) -> DataFrame:
-    """(on, parts): the keys that rows has too often, and the number of parts to deal each to; at most HEAVY_KEYS rows."""
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+def heavy_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """(on, parts): the keys that rows, a stored table, has too often, and the number of parts to deal each to; at most HEAVY_KEYS rows."""
     limit = heavy_limit(rows.count())
-    return scratch.save(counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("parts")), "heavy")
+    return deal(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")), on, limit)
+
+
+def deal(counts: DataFrame, on: list[str], limit: int, n: str = "n") -> DataFrame:
+    """(on, parts): the keys of counts, which has a row for each, whose number is beyond limit."""
+    return counts.where(F.col(n) > limit).select(*on, F.ceil(F.col(n) / limit).cast("int").alias("parts"))
 
 
 def spread_join(many: DataFrame, one: DataFrame, on: list[str], heavy: DataFrame, how: str = "inner") -> DataFrame:
     """many joined with one (inner, left or left_semi), where a key that heavy names is dealt to several tasks.
 
     Rows of many are dealt by a hash of their other columns, and one's rows of such a key go to each part: no more copies
-    than many has rows to fill them. heavy is stored, has no null keys, and its size is bounded (see heavy_keys).
+    than many has rows to fill them. heavy has no null keys, and its size is bounded (see heavy_keys).
     """
     if heavy.isEmpty():
         return many.join(one, on, how)

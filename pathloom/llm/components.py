@@ -20,7 +20,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.save(edges.select("a", "b").where("a <> b").distinct(), "edges")
     both = edges.union(edges.select("b", "a"))
     labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    heavy_a, heavy_b = heavy_keys(edges, ["a"], scratch), heavy_keys(edges, ["b"], scratch)
+    heavy_a, heavy_b = heavy_keys(edges, ["a"]), heavy_keys(edges, ["b"])
     while True:
         at_a = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
         at_b = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
@@ -29,15 +29,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         to_node = F.when(F.col("la") > F.col("lb"), F.col("a")).otherwise(F.col("b")).alias("node")
         offers = scratch.save(ends.select(F.explode(F.array(F.struct(high, low), F.struct(to_node, low))).alias("o")).select("o.*").groupBy("node").agg(F.min("offer").alias("offer")), "offers")
         if offers.isEmpty():
-            scratch.drop(offers, edges, heavy_a, heavy_b)
+            scratch.drop(offers, edges)
             return labels
-        for step in range(3):
-            if step:
-                heavy = heavy_keys(labels, ["component"], scratch)
-                up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-                lower = spread_join(labels, up, ["component"], heavy, "left").select("node", F.least("component", "up").alias("component"))
-            else:
-                lower = labels.join(offers, "node", "left").select("node", F.least("component", "offer").alias("component"))
-            new = scratch.save(lower, "labels")
-            scratch.drop(labels, offers if not step else heavy)
-            labels = new
+        lower = labels.join(offers, "node", "left").select("node", F.least("component", "offer").alias("component"))
+        up = lower.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        # labels that are common now tell which will be: if one is not foreseen, its task is only longer
+        jumped = spread_join(lower, up, ["component"], heavy_keys(labels, ["component"]), "left")
+        new = scratch.save(jumped.select("node", F.least("component", "up").alias("component")), "labels")
+        scratch.drop(labels, offers)
+        labels = new

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch, by_ids, heavy_keys, heavy_limit, spread_join, tidy
+from pathloom.llm.common import Scratch, by_ids, deal, heavy_keys, heavy_limit, spread_join, tidy
 from pathloom.llm.components import components
 from pathloom.llm.shingles import U, WordHashes, mix, shingle_set
 
@@ -90,13 +90,13 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), stored, whose sets have 100 * intersection >= percent * union. A document of many pairs is dealt to several tasks."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    with_a = spread_join(pairs, left, ["a"], heavy_keys(pairs, ["a"], scratch))
-    met = spread_join(with_a, right, ["b"], heavy_keys(pairs, ["b"], scratch)).where(100 * small >= percent * large)
+    with_a = spread_join(pairs, left, ["a"], heavy_keys(pairs, ["a"]))
+    met = spread_join(with_a, right, ["b"], heavy_keys(pairs, ["b"])).where(100 * small >= percent * large)
     both = F.size(F.array_intersect("sa", "sb"))
     return met.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
@@ -139,13 +139,13 @@ def _left_apart(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     if torn.isEmpty():
         return None
     limit = heavy_limit(members.count())
-    heavy = scratch.save(torn.where(F.col("n") > limit).select("key", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "heavy")
+    heavy = deal(torn, ["key"], limit)
     apart = scratch.save(spread_join(labelled, torn.select("key"), ["key"], heavy, "left_semi").select("rep", "component").distinct(), "apart")
     held = apart.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
     each = scratch.save(held.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "each")
     often = scratch.save(each.groupBy("s").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("x"), F.max("component").alias("y")), "often")
     limit = heavy_limit(each.count())
-    heavy = scratch.save(often.where(F.col("often") > limit).select("s", F.ceil(F.col("often") / limit).cast("int").alias("parts")), "heavy")
+    heavy = deal(often, ["s"], limit, "often")
     ranked = spread_join(each, often, ["s"], heavy).groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "s", (F.col("x") != F.col("y")).alias("torn")))).alias("order"))
     t = Fraction(percent, 100)
     prefix = F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator - 1e-9) + 1
@@ -156,7 +156,7 @@ def _left_apart(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     # the first shingle that a pair shares, and those after it, bound what it can share in all
     enough = (100 + percent) * F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= percent * (F.col("n_a") + F.col("n_b"))
     near = enough & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") < F.col("rep_b"))
-    return spread_join(a, b, ["s"], heavy_keys(first, ["s"], scratch)).where(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    return spread_join(a, b, ["s"], heavy_keys(first, ["s"])).where(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = scratch.save(sig.where(takes_part).groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "classes")
     sig_of = sig.select("doc_id", "n_shingles", "c1", "c2")
     limit = heavy_limit(sig.count())
-    heavy = scratch.save(classes.where(F.col("n") > limit).select("c1", "c2", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "heavy")
+    heavy = deal(classes, ["c1", "c2"], limit)
 
     members = _members(classes, m, scratch)
     pairs = scratch.save(members.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
@@ -184,20 +184,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = scratch.save(shingle_sets(by_ids(docs.select(F.col("doc_id").cast("long"), "text"), ids, "left_semi"), words), "sets")
     # rows that repeat a doc_id link its classes
     repeated = sig_of.where(takes_part).groupBy("doc_id").agg(F.min(F.struct("c1", "c2")).alias("x"), F.max(F.struct("c1", "c2")).alias("y")).where("x <> y").select("doc_id")
-    same = sig_of.where(takes_part).join(scratch.save(repeated, "repeated"), "doc_id", "left_semi").select("doc_id", "c1", "c2").distinct().join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    links = scratch.save(_confirmed(pairs, sets, percent, scratch).union(same), "links")
+    same = sig_of.where(takes_part).join(repeated, "doc_id", "left_semi").select("doc_id", "c1", "c2").distinct().join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    links = scratch.save(_confirmed(pairs, sets, percent).union(same), "links")
     scratch.drop(pairs, ids)
     labels = components(links, scratch)
     if (more := _left_apart(members.where("n > 2"), labels, sets, percent, scratch)) is not None:
         more = scratch.save(more, "more")
-        fresh = scratch.save(_confirmed(more, sets, percent, scratch), "fresh")
+        fresh = scratch.save(_confirmed(more, sets, percent), "fresh")
         if not fresh.isEmpty():
             scratch.drop(labels)
             labels = components(links.union(fresh), scratch)
         scratch.drop(more, fresh)
     scratch.drop(members, sets, links)
     by_class = scratch.save(classes.select("c1", "c2", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component")), "found")
-    scratch.drop(classes, labels)
+    scratch.drop(labels)
     found = spread_join(sig_of.where(takes_part), by_class, ["c1", "c2"], heavy).select("doc_id", "n_shingles", "component")
     alone = sig_of.where(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     return found.unionByName(alone).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch, heavy_limit, spread_join, tidy
+from pathloom.llm.common import Scratch, deal, heavy_limit, spread_join, tidy
 from pathloom.llm.shingles import SECOND, WordHashes, runs
 
 #: Words in a window, and in an anchor.
@@ -171,12 +171,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     seeds = scratch.save(anchors(known, window, anchor), "anchors")
     # a document's windows of an anchor stay together, so groups are dealt by document
     shared = scratch.save(seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("places").alias("p")).where("n > 1"), "several")
-    limit = heavy_limit(seeds.count())
-    heavy = scratch.save(shared.where(F.col("n") > limit).select("anchor", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "heavy")
+    heavy = deal(shared, ["anchor"], heavy_limit(seeds.count()))
     part = F.when(F.col("p") <= group, -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("p") / group))).cast("int")
     of_doc = spread_join(seeds.drop("places"), shared.select("anchor", "p"), ["anchor"], heavy).groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"), F.collect_list(part).alias("part"))
     of_doc = scratch.save(of_doc, "shared")
-    scratch.drop(seeds, shared, heavy)
+    scratch.drop(seeds, shared)
     scratch.release()
     extensions = scratch.save(_extensions(known.join(of_doc, "doc_id").select("doc_id", "text", "shared", "part"), window, anchor), "extensions")
     scratch.drop(of_doc)

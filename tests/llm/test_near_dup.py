@@ -169,7 +169,7 @@ def test_spread_join_loses_and_repeats_nothing(spark, monkeypatch):
     scratch = Scratch(spark, "spread")
     many = scratch.save(spark.createDataFrame([(k % 7 if k % 3 else 0, k % 50) for k in range(300)] + [(None, 1), (99, 2)], "k int, v int"))
     one = spark.createDataFrame([(k, c) for k in (0, 1, 2, 3, 50) for c in "ab"], "k int, c string")
-    heavy = common.heavy_keys(many.where("k IS NOT NULL"), ["k"], scratch)
+    heavy = common.heavy_keys(many.where("k IS NOT NULL"), ["k"])
     assert heavy.count() > 3
     for how in ("inner", "left", "left_semi"):
         want = sorted(map(tuple, many.join(one, "k", how).collect()), key=repr)
