@@ -76,3 +76,46 @@ def test_odd_rows(spark):
     assert lists(A.search(df, EVERY)) == {0: [(20, 0.5), (8, -1.0)], 20: [(0, 0.5), (8, 0.5)]}
     assert A.search(df.limit(0), EVERY).collect() == []
     assert A.search(df.where("vec_id = 0"), EVERY).collect() == []
+
+
+def recall(got, ids, x):
+    hits = 0
+    for q, best in got.items():
+        at = int(np.flatnonzero(ids == q)[0])
+        score = x @ x[at]
+        score[at] = -np.inf
+        hits += len({i for i, _ in best} & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    return hits / (20 * len(got))
+
+
+def test_recall_on_the_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = df.where("vec_id IS NOT NULL AND size(embedding) = 64 AND NOT exists(embedding, c -> c IS NULL OR isnan(c))").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = lists(A.search(df, EVERY))
+    assert len(got) == (ids % 20 == 0).sum() and all(len(v) == 20 for v in got.values())
+    assert recall(got, ids, x) >= 0.9
+
+
+def test_recall_where_a_small_share_is_reranked(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 64))
+    x[:2000] = x[0] + 0.4 * x[:2000]  # a dense spot
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, asked = np.arange(20_000), []
+    search = A._Index.search
+    monkeypatch.setattr(A._Index, "search", lambda self, q, ask, *rest: asked.append((ask, self.files, self.held())) or search(self, q, ask, *rest))
+    got = lists(A.search(frame(spark, ids, x), "id % 400 = 100", reranked=0.12))
+    (ask, files, held), = asked
+    assert ask < files
+    assert ask * max(A.LEAST, 0.12 * np.mean(list(held.values()))) <= 0.1 * len(x)
+    assert recall(got, ids, x) >= 0.9
+
+
+def test_queries_that_find_too_little_ask_all_files(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 6))
+    x[:4] *= 1e-3  # as short as to be far from all pivots
+    ids = np.arange(900)
+    assert all(len(v) == 20 for v in lists(A.search(frame(spark, ids, x), EVERY, ask=1, pivots=200)).values())
+    assert {q: len(v) for q, v in lists(A.search(frame(spark, ids[:15], x[:15]), "id < 3", ask=1)).items()} == {0: 14, 1: 14, 2: 14}
