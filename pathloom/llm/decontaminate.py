@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch, by_ids, tidy
+from pathloom.llm.common import Scratch, by_ids, heavy_keys, spread_join, tidy
 from pathloom.llm.shingles import SECOND, U, mix, runs
 
 #: Words in a template window; an item of fewer words is one window of its own length.
@@ -152,8 +152,20 @@ def _doc_rows(templates: Templates, text: str | None, sizes: tuple[int, ...], se
             yield size, *row
 
 
+def _class(words: list[str], h: np.ndarray, plain: np.ndarray) -> tuple[int, int]:
+    """128 bits that items share whose templates are the same throughout, with equal values in the same places.
+
+    What such items match by their templates is the same, whatever their values are.
+    """
+    slots = _slots(words, plain, 0, len(words))
+    first: dict[str, int] = {}
+    pattern = np.array([first.setdefault(v, k) for k, v in enumerate(slots)], np.int64)
+    whole = xxhash.xxh3_128_intdigest(h.tobytes() + pattern.tobytes())
+    return (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
+
+
 def _item_rows(templates: Templates, text: str | None) -> Iterator[tuple]:
-    """(size, start, h1, h2, slots, first, template) of an item's windows.
+    """(size, start, h1, h2, slots, first, template, c1, c2) of an item's windows; c1 and c2 tell its class (see _class).
 
     A window stands as its words (slots null) and, with placeholders but enough plain words, as its template. What stands
     before an item in a document decides whether its capitalised first word is read as a name there, so the first window
@@ -166,19 +178,20 @@ def _item_rows(templates: Templates, text: str | None) -> Iterator[tuple]:
     enough = _counts(plain, size) >= min(MIN_PLAIN, (size + 1) // 2)
     if either and not plain[0]:
         enough[0] |= plain[1:size].sum() + 1 >= min(MIN_PLAIN, (size + 1) // 2)
+    kind = _class(words, h, plain)
     for a, x, y in zip(*(c.tolist() for c in _signed(*_windows(own, size, None))), strict=True):
-        yield size, a, x, y, None, None, bool(enough[a])
+        yield size, a, x, y, None, None, bool(enough[a]), *kind
     need = min(MIN_PLAIN, (size + 1) // 2)
     n_plain = _counts(plain, size)
     for a, *row in _template_rows(words, h, plain, size, None):
         if n_plain[a] >= need:
-            yield size, a, *row, None, True
+            yield size, a, *row, None, True, *kind
     if either and enough[0]:
         h, other = h[:size].copy(), plain[:size].copy()
         h[0], other[0] = (U(_HASH["name"]), False) if plain[0] else (own[0], True)
         for row in _template_rows(words[:size], h, other, size, None):
             # the first word, if a name now, is told by first and is no slot
-            yield size, *row[:3], row[3][1:] if plain[0] else row[3], _slots(words, other, 0, 1)[0] if plain[0] else None, True
+            yield size, *row[:3], row[3][1:] if plain[0] else row[3], _slots(words, other, 0, 1)[0] if plain[0] else None, True, *kind
 
 
 def _window_rows(texts: DataFrame, rows, schema: str, kinds: tuple, bits=None) -> DataFrame:
@@ -226,19 +239,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_MATCHED)
     docs has doc_id and text, benchmark item_id and text. n_matched of the item's n_windows windows stand in the
     document word for word or with consistent slots; overlap is their share. Of an item's windows with enough plain words
     min_matched must match, or all if it has fewer; or as many of all its windows. kind is "exact" if all slots are
-    equal, else "variant". Items of equal text are one, that of smallest item_id. Windows without enough plain words
-    match word for word only. Null, empty and blank texts match nothing; null ids take no part. Rows that repeat a doc_id count as one document; other columns
-    are ignored. Windows are joined by 128 bits of hash.
+    equal, else "variant". Items of equal text are one, that of smallest item_id. Of items that differ in the values of
+    their placeholders only, that of smallest item_id stands for all where a document is matched by template; word for
+    word each is matched. So a template that many items share costs no row for each of them. Windows without enough plain
+    words match word for word only. Null, empty and blank texts match nothing; null ids take no part. Rows that repeat a
+    doc_id count as one document; other columns are ignored. Windows are joined by 128 bits of hash; those that many
+    documents have are dealt to several tasks.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
     texts = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("text").agg(F.min("item_id").cast("long").alias("id")).select("id", "text")
-    items = scratch.save(_window_rows(texts, lambda t, text, _: _item_rows(t, text), f"{_WINDOW_ROWS}, first string, template boolean", (*_KINDS, pa.string(), pa.bool_())), "items")
+    items = scratch.save(_window_rows(texts, lambda t, text, _: _item_rows(t, text), f"{_WINDOW_ROWS}, first string, template boolean, c1 long, c2 long", (*_KINDS, pa.string(), pa.bool_(), pa.int64(), pa.int64())), "every")
+    stands = items.where("slots IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("stands"))
+    items = scratch.save(items.join(stands, ["c1", "c2"], "left").where("slots IS NULL OR id = stands").drop("c1", "c2", "stands"), "items")
     sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))  # WINDOW and less
     bits = spark.sparkContext.broadcast(_filter(items))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = _window_rows(known, lambda t, text, seen: _doc_rows(t, text, sizes, seen), _WINDOW_ROWS, _KINDS, bits).withColumnsRenamed({"id": "doc_id", "start": "at", "slots": "doc_slots"})
-    met = found.join(items.withColumnsRenamed({"id": "item_id", "slots": "item_slots"}), ["h1", "h2", "size"])
+    found = scratch.save(_window_rows(known, lambda t, text, seen: _doc_rows(t, text, sizes, seen), _WINDOW_ROWS, _KINDS, bits), "found").withColumnsRenamed({"id": "doc_id", "start": "at", "slots": "doc_slots"})
+    on = ["h1", "h2", "size"]
+    met = spread_join(found, items.withColumnsRenamed({"id": "item_id", "slots": "item_slots"}), on, heavy_keys(found, on))
     met = met.where("first IS NULL OR doc_slots[0] = first").withColumn("doc_slots", F.expr("IF(first IS NULL, doc_slots, slice(doc_slots, 2, size(doc_slots)))"))
     # an item and a document may meet in several places; each offset is one place
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))

@@ -46,7 +46,7 @@ def parse_expression(parts: Iterable[str]) -> tuple[list | None, int]:
     best: tuple[list | None, int] = (None, 0)
     output: list = []
     pending: list[str] = []
-    operand = True  # whether an operand must come next
+    operand, unclosed = True, 0  # whether an operand must come next, and how many parentheses are open
 
     def fold(output: list, pending: list[str]) -> None:
         op, right, left = pending.pop(), output.pop(), output.pop()
@@ -56,6 +56,7 @@ def parse_expression(parts: Iterable[str]) -> tuple[list | None, int]:
         if operand:
             if part == "(":
                 pending.append(part)
+                unclosed += 1
                 continue
             if part in _ORDER or part == ")":
                 break
@@ -67,13 +68,14 @@ def parse_expression(parts: Iterable[str]) -> tuple[list | None, int]:
             pending.append(part)
             operand = True
             continue
-        elif part == ")" and "(" in pending:
+        elif part == ")" and unclosed:
             while pending[-1] != "(":
                 fold(output, pending)
             pending.pop()
+            unclosed -= 1
         else:
             break
-        if "(" not in pending:  # what is read so far is whole
+        if not unclosed:  # what is read so far is whole
             o, p = output[:], pending[:]
             while p:
                 fold(o, p)

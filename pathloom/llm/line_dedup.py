@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch, wide_hash
+from pathloom.llm.common import Scratch, deal, heavy_keys, heavy_limit, spread_join, wide_hash
 
 #: Share of a host's pages above which a line is boilerplate.
 MAX_RATIO = 0.08
 #: A line on fewer pages than this is never boilerplate, however small the host.
 MIN_PAGES = 5
+#: Boilerplate lines of a host that a line is compared with, about: they are kept in so many lists that each is short.
+LIST = 4
 #: Boilerplate lines up to which their table is broadcast; beyond, a shuffle join by line replaces that.
 BROADCAST_ROWS = 50_000
 
@@ -56,10 +58,10 @@ def drop_lines(pages: DataFrame, text_col: str = "text", host_col: str = "source
     becomes "".
     """
     scratch = Scratch(pages.sparkSession, "lines")
-    bad = scratch.save(boilerplate(pages, text_col, host_col, max_ratio, min_pages).select("host", "line"), "boilerplate")
+    bad = scratch.save(boilerplate(pages, text_col, host_col, max_ratio, min_pages).select("host", "line", "n_pages"), "boilerplate")
     with_bad = _by_broadcast if bad.count() <= broadcast_rows else _by_shuffle
     lines = _lines(f"page.{text_col}")
-    kept = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("bad"), _key(x)), F.lit(False))))
+    kept = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(_in_lists(F.col("bad"), _key(x)), F.lit(False))))
     # the page stays a struct of its own, so that no column of it can clash with those made here
     marked = with_bad(pages, bad, text_col, host_col).select("page", lines.alias("lines"), kept.alias("kept"))
     there = F.col("page")[text_col].isNotNull()
@@ -69,16 +71,30 @@ def drop_lines(pages: DataFrame, text_col: str = "text", host_col: str = "source
     return marked.select(*passed, *(fresh[c].alias(c) for c in ("n_lines", "n_removed")))
 
 
+def _in_lists(lists, key):
+    """Whether a key is in the list where it must be; null for a null key."""
+    return F.transform(F.array(key), lambda k: F.array_contains(F.get(lists, F.pmod(k["a"], F.size(lists)).cast("int")), k))[0]
+
+
 def _by_broadcast(pages: DataFrame, bad: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """(page, bad): each row of pages as a struct, and the boilerplate of its host; null if it has none."""
-    per_host = F.broadcast(bad.groupBy("host").agg(F.collect_list("line").alias("bad")))
-    return pages.select(F.struct(*pages.columns).alias("page"), _host(host_col).alias("host")).join(per_host, "host", "left").select("page", "bad")
+    """(page, bad): each row of pages as a struct, and lists of the boilerplate of its host; null if it has none."""
+    n_lists = F.ceil(F.expr("count(1) OVER (PARTITION BY host)") / LIST).cast("int")
+    dealt = bad.select("host", "line", n_lists.alias("lists")).withColumn("i", F.pmod(F.col("line.a"), F.col("lists")).cast("int"))
+    each = dealt.groupBy("host", "lists", "i").agg(F.collect_list("line").alias("line")).groupBy("host", "lists").agg(F.map_from_entries(F.collect_list(F.struct("i", "line"))).alias("by_i"))
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    per_host = each.select("host", F.transform(F.sequence(F.lit(0), F.col("lists") - 1), lambda i: F.coalesce(F.try_element_at("by_i", i), none)).alias("bad"))
+    return pages.select(F.struct(*pages.columns).alias("page"), _host(host_col).alias("host")).join(F.broadcast(per_host), "host", "left").select("page", "bad")
 
 
 def _by_shuffle(pages: DataFrame, bad: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """The same, with only the page's own boilerplate: found by a join on host and line, then joined by a hash of the page."""
+    """The same, with only the page's own boilerplate: found by a join on host and line, then joined by a hash of the page.
+
+    Lines that many pages have, and pages that are equal, are dealt to several tasks.
+    """
     p, q = (h.alias(n) for h, n in zip(wide_hash(_host(host_col), F.coalesce(F.col(text_col), F.lit(""))), "pq", strict=True))
     keys = F.array_distinct(F.filter(F.transform(_lines(text_col), _key), lambda k: k.isNotNull()))
     lines = pages.select(p, q, _host(host_col).alias("host"), F.explode(keys).alias("line"))
-    found = lines.join(bad, ["host", "line"], "left_semi").groupBy("p", "q").agg(F.collect_set("line").alias("bad"))
-    return pages.select(F.struct(*pages.columns).alias("page"), p, q).join(found, ["p", "q"], "left").select("page", "bad")
+    heavy = deal(bad, ["host", "line"], heavy_limit(bad.agg(F.sum("n_pages")).first()[0] or 0), "n_pages")
+    found = spread_join(lines, bad.drop("n_pages"), ["host", "line"], heavy, "left_semi").groupBy("p", "q").agg(F.array(F.collect_set("line")).alias("bad"))
+    hashed = pages.select(F.struct(*pages.columns).alias("page"), p, q)
+    return spread_join(hashed, found, ["p", "q"], heavy_keys(hashed.select("p", "q"), ["p", "q"]), "left").select("page", "bad")

@@ -76,19 +76,43 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return history.where(F.col("version") == wanted).select("version", "virtual_slot", "shard")
 
 
-def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
+def has_map(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Puts every row of docs (doc_id, text) into a shard of nearly equal bytes.
 
     Returns doc_id, size, text_crc32, shard, slot (the row's place in its shard, from 0 without gaps), virtual_slot and
     map_version, one row for each row of docs. Null ids and texts, repeated rows and empty tables are allowed (see
     with_slots); other columns are ignored. A shard can't be split below a slot, nor a slot below a row.
+
+    map_path names the stored map. If it is not there yet, version 1 is built from docs and stored there; if it is, its
+    latest version is used as it is, so that records stay where they are until rebalance() edits it. Without map_path a
+    map is built and stored for this table alone.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     rows = scratch.save(with_slots(docs, n_slots), "rows")  # narrow; the texts are read once
     slots = scratch.save(slot_bytes(rows, n_slots), "slots")
-    slot_map = scratch.save(build_map(slots, n_shards), "map")
+    path = map_path or f"{scratch.root}/map"
+    if not has_map(spark, path):
+        write_map(build_map(slots, n_shards), path)
     by = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slot_map.join(F.broadcast(slots), "virtual_slot").select("virtual_slot", "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("rows").over(by), F.lit(0)).alias("start"))
+    placed = read_map(spark, path).join(F.broadcast(slots), "virtual_slot").select("virtual_slot", "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("rows").over(by), F.lit(0)).alias("start"))
     within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     return rows.withColumn("n", within).join(F.broadcast(placed), "virtual_slot").select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("n") - 1).cast("long").alias("slot"), "virtual_slot", "map_version")
+
+
+def rebalance(docs: DataFrame, map_path: str, n_slots: int = N_SLOTS) -> int:
+    """Adds a shard to the stored map by the bytes that docs has in each slot now; returns the new version's number."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "rebalance")
+    slots = scratch.save(slot_bytes(with_slots(docs, n_slots), n_slots), "slots")
+    old = scratch.save(read_map(spark, map_path), "old")
+    last = old.agg(F.max("shard").alias("shard"), F.max("version").alias("version")).first()
+    write_map(add_shard(old, slots, last["shard"] + 1), map_path)
+    scratch.drop(slots, old)
+    return last["version"] + 1

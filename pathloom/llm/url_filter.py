@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch
+from pathloom.llm.common import Scratch, heavy_keys, spread_join, wide_hash
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: A label of more characters is no legal DNS label, and is left whole; no word is longer than MAX_WORD.
-MAX_LABEL, MAX_WORD = 63, 24
+#: Letters of the longest words that the unigram model knows.
+MAX_WORD = 24
 #: Buckets that tokens are hashed into: the model is this many numbers whatever the corpus.
 BUCKETS = 1 << 16
-_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.I | re.S)
+_HIDDEN = re.compile(r"<(script|style)\b", re.I)
+_HIDDEN_END = {kind: re.compile(rf"</{kind}\s*>", re.I) for kind in ("script", "style")}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -51,6 +52,25 @@ def ruled(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
     return out.withColumn("rule", best).withColumns({"rule": F.col("rule.rule"), "by_rule": F.col("rule.by_rule")})
 
 
+def visible(html: str) -> str:
+    """html with a space for each tag, and for each script or style with all it holds. Takes time in proportion to html.
+
+    A script or style that isn't closed is a tag like others; a "<" without any ">" after it is text.
+    """
+    out, at, ends = [], 0, {kind: 0 for kind in _HIDDEN_END}  # where the next end is searched for; -1: there is none
+    while (start := html.find("<", at)) >= 0:
+        out.append(html[at:start])
+        at = -1
+        if (hidden := _HIDDEN.match(html, start)) and ends[kind := hidden[1].lower()] >= 0:
+            end = _HIDDEN_END[kind].search(html, hidden.end())
+            ends[kind] = at = end.end() if end else -1
+        if at < 0 and (at := html.find(">", start) + 1) <= 0:
+            out.append(html[start:])
+            return " ".join(out)
+    out.append(html[at:])
+    return " ".join(out)
+
+
 def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(word, n): how often each word of at most MAX_WORD letters stands in the text of all pages, in lower case."""
 
@@ -58,7 +78,7 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
         for batch in batches:
             seen: Counter[str] = Counter()
             for html in batch.column(0):
-                seen.update(_WORD.findall(_MARKUP.sub(" ", html.as_py() or "").lower()))
+                seen.update(_WORD.findall(visible(html.as_py() or "").lower()))
             short = {w: n for w, n in seen.items() if len(w) <= MAX_WORD}
             yield pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], ["word", "n"])
 
@@ -86,23 +106,35 @@ def segment(label: str, known: dict[tuple[int, int], float], total: float) -> li
     return words[::-1]
 
 
-def segment_labels(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """(label, words) for each label: its stretches are joined with the words, and only those found go to the Viterbi."""
+def segment_labels(labels: DataFrame, words: DataFrame, scratch: Scratch) -> DataFrame:
+    """(label, words) for each label: its stretches are joined with the words, and only those found go to the Viterbi.
+
+    Stretches that many labels have, such as single letters, are dealt to several tasks.
+    """
     total = float(words.agg(F.sum("n")).first()[0] or 0) + 1.0
-    stretch = F.expr(f"flatten(transform(sequence(1, length(label)), s -> transform(sequence(1, least({MAX_WORD}, length(label) - s + 1)), k -> struct(s - 1 AS at, substring(label, s, k) AS word))))")
-    each = labels.where(F.length("label").between(1, MAX_LABEL)).select("label", F.explode(stretch).alias("x")).select("label", "x.at", "x.word")
-    found = each.join(words, "word").groupBy("label").agg(F.collect_list(F.struct("at", F.length("word").alias("k"), "n")).alias("found"))
-    held = labels.join(found, "label", "left").select("label", "found")
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h1, h2, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for begin in range(0, len(label), 4096):
+                    found = [(s, label[s:e]) for s in range(begin, min(begin + 4096, len(label))) for e in range(s + 1, min(s + MAX_WORD, len(label)) + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([h1] * len(found), pa.int64()), pa.array([h2] * len(found), pa.int64()), pa.array([s for s, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string())], ["h1", "h2", "at", "word"])
+
+    hashed = labels.select(*(h.alias(n) for h, n in zip(wide_hash("label"), ("h1", "h2"), strict=True)), "label")
+    each = scratch.save(hashed.mapInArrow(stretches, "h1 long, h2 long, at int, word string"), "stretches")
+    found = spread_join(each, words, ["word"], heavy_keys(each, ["word"])).groupBy("h1", "h2").agg(F.collect_list(F.struct("at", F.length("word").alias("k"), "n")).alias("found"))
+    held = hashed.join(found, ["h1", "h2"], "left").select("label", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for label, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                spans = {(f["at"], f["at"] + f["k"]): float(f["n"]) for f in known or ()}
-                out.append(segment(label, spans, total) if 0 < len(label) <= MAX_LABEL else [label] * bool(label))
+                out.append(segment(label, {(f["at"], f["at"] + f["k"]): float(f["n"]) for f in known or ()}, total))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["label", "words"])
 
-    return held.mapInArrow(run, "label string, words array<string>")
+    split = scratch.save(held.mapInArrow(run, "label string, words array<string>"), "split")
+    scratch.drop(each)
+    return split
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -120,12 +152,16 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     words = scratch.save(word_counts(pages, html_col), "words")
     hosts = scratch.save(urls.select("host").distinct(), "hosts")
     labels = hosts.select(F.explode(F.array_distinct(F.regexp_extract_all("host", F.lit(r"[^.:@\-_]+"), F.lit(0)))).alias("label")).distinct()
-    split = segment_labels(scratch.save(labels, "labels"), words)
-    of_host = hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit(r"[^.:@\-_]+"), F.lit(0))).alias("at", "label")).join(split, "label")
+    labels = scratch.save(labels, "labels")
+    split = segment_labels(labels, words, scratch)
+    scratch.drop(words, labels)
+    of_host = scratch.save(hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit(r"[^.:@\-_]+"), F.lit(0))).alias("at", "label")), "host_labels")
+    of_host = spread_join(of_host, split, ["label"], heavy_keys(of_host, ["label"]))
     of_host = scratch.save(of_host.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("host_words")), "host_words")
     path_words = F.filter(F.split(F.regexp_replace(F.lower("path"), r"\d+", "0"), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
-    tokens = urls.join(of_host, "host", "left").withColumn("words", F.concat(F.coalesce("host_words", F.array().cast("array<string>")), path_words)).drop("host_words")
+    tokens = spread_join(urls, of_host, ["host"], heavy_keys(urls, ["host"]), "left").withColumn("words", F.concat(F.coalesce("host_words", F.array().cast("array<string>")), path_words)).drop("host_words")
     tokens = scratch.save(tokens, "tokens")
+    scratch.drop(hosts, split, of_host)
     named = sorted({w for _, h, p in rules for w in re.findall(r"[^\W_]+", h + p)})
     telling = F.filter("words", lambda w: ~w.isin(named))
     buckets = F.transform(telling, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))

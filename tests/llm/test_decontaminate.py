@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pathloom.llm import common
 from pathloom.llm import decontaminate as D
 from tests.llm.rows import documents
 
@@ -104,3 +105,86 @@ def test_dropping_keeps_clean_rows_and_columns(spark):
     out = D.drop_leaks(df, bench(spark, [(1, PLAIN)]))
     assert out.columns == df.columns
     assert [r.doc_id for r in out.collect()] == [None, None]  # what has no id is never dropped
+
+
+def _kind(w):
+    return "number" if w.isdigit() else "unit" if w in ("km", "dollars") else "name" if w.istitle() else None
+
+
+def _leaks(docs, items):
+    """What leaks() must give, by comparing every window of every item with every window of every document.
+
+    For texts that begin with a plain word and hold no punctuation, so that capitals are names throughout.
+    """
+    out, standing = {}, {}
+    for i, t in items:
+        w = t.split()
+        values = [x for x in w if _kind(x)]
+        standing.setdefault((tuple(_kind(x) or x for x in w), tuple(values.index(v) for v in values)), i)
+    for d, text in docs:
+        doc = text.split()
+        for i, t in items:
+            w = t.split()
+            n = min(8, len(w))
+            values = [x for x in w if _kind(x)]
+            stands = standing[tuple(_kind(x) or x for x in w), tuple(values.index(v) for v in values)] == i
+            enough = [sum(not _kind(x) for x in w[a : a + n]) >= min(4, (n + 1) // 2) for a in range(len(w) - n + 1)]
+            places = {}
+            for a in range(len(w) - n + 1):
+                for b in range(len(doc) - n + 1):
+                    x, y = w[a : a + n], doc[b : b + n]
+                    starts, pairs = places.setdefault(b - a, (set(), set()))
+                    if [v.lower() for v in x] == [v.lower() for v in y]:
+                        starts.add(a)
+                    slots = [(u, v) for u, v in zip(x, y, strict=True) if _kind(u)]
+                    if stands and slots and enough[a] and [_kind(v) or v for v in x] == [_kind(v) or v for v in y]:
+                        starts.add(a)
+                        pairs.update(slots)
+            good = [(s, p) for s, p in places.values() if s and len({u for u, _ in p}) == len(p)]
+            matched = {a for s, _ in good for a in s}
+            if not matched:
+                continue
+            of_template, by_template = sum(enough), sum(enough[a] for a in matched)
+            if len(matched) >= min(3, len(enough)) or of_template and by_template >= min(3, of_template):
+                out[d, i] = (len(matched), len(enough), "exact" if all(u == v for _, p in good for u, v in p) else "variant")
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_equals_brute_force_with_placeholders(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(common, "KEY_ROWS", 5)
+    rnd = random.Random(21)
+    names, plain = ["Anna", "Bob", "Carl", "Dora", "Emil"], ["takes", "gives", "away", "from", "the", "heap", "and", "then", "walks", "home"]
+    word = lambda: rnd.choice([rnd.choice(plain), rnd.choice(plain), str(rnd.randint(2, 30)), rnd.choice(names), rnd.choice(["km", "dollars"])])
+
+    def vary(words, share):
+        to = {}
+        for w in words:
+            to.setdefault(w, {"number": str(rnd.randint(2, 30)), "name": rnd.choice(names), "unit": w}.get(_kind(w)) if _kind(w) else w)
+        return [to[w] if rnd.random() < share else w for w in words]
+
+    items = [(i, " ".join(["so", *(word() for _ in range(rnd.randint(0, 22)))])) for i in range(25)]
+    items += [(30 + i, " ".join(vary(items[i % 5][1].split(), 1.0))) for i in range(25)]  # the same question with other values
+    items = list({t: (i, t) for i, t in reversed(items)}.values())
+    items.sort()
+    docs = []
+    for i in range(150):
+        words = ["and", *(word() for _ in range(rnd.randint(0, 25)))]
+        if rnd.random() < 0.8:
+            got = vary(rnd.choice(items)[1].split(), rnd.choice([0, 0.5, 1, 1]))
+            at = rnd.randint(1, len(words))
+            words[at:at] = got[: rnd.randint(1, 30)]
+        docs.append((i, " ".join(words)))
+    want = _leaks(docs, items)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_windows, r.kind) for r in D.leaks(df, bench(spark, items)).collect()}
+    assert got == want
+    assert len(want) > 60 and {k for _, _, k in want.values()} == {"exact", "variant"}
+
+
+def test_a_template_of_many_items_costs_no_row_for_each(spark):
+    ask = lambda n: f"if there are {n} red balls in {n + 1} big boxes and {n + 2} blue balls in {n + 3} small boxes how many fit in {n + 4}"
+    items = [(i, ask(1000 + 10 * i)) for i in range(400)]
+    got = found(spark, [FILL + ask(77), FILL + ask(1090), FILL + ask(1000)], items)
+    assert {k: v[2] for k, v in got.items()} == {(0, 0): "variant", (1, 0): "variant", (1, 9): "exact", (2, 0): "exact"}

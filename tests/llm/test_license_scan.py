@@ -1,3 +1,4 @@
+import time
 import random
 import re
 
@@ -72,3 +73,13 @@ def test_table(spark):
     for r in rows:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(r.text)
     assert scan(df.limit(0)).collect() == []
+
+
+def test_expressions_take_time_in_proportion_to_their_length():
+    names = [f"licenseref-{i}" for i in range(100_000)]
+    texts = [" or ".join(names), "(" * 50_000 + " or (".join(names[:50_000]) + ")" * 99_999]
+    for text, n in zip(texts, (100_000, 50_000), strict=True):
+        began = time.process_time()
+        got = Scanner().scan("SPDX-License-Identifier: " + text)
+        assert len(got[5].split(",")) == n
+        assert time.process_time() - began < 5

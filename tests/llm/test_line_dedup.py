@@ -1,5 +1,6 @@
 import pytest
 
+from pathloom.llm import common
 from pathloom.llm.line_dedup import boilerplate, drop_lines
 from tests.llm.rows import DOCS, documents
 
@@ -48,3 +49,13 @@ def test_odd_rows_pass(spark, rows_to_broadcast):
 def test_no_python_runs(spark):
     plan = drop_lines(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hot_lines_and_equal_pages_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(common, "KEY_ROWS", 6)
+    rows = pages() + [("h1", "Menu\nthe same page\nagain")] * 60 + [("h2", f"Menu\nl{i % 7}\nm{i % 11}\nn{i % 13}") for i in range(150)]
+    df = spark.createDataFrame(rows, "source string, text string").repartition(5)
+    for broadcast in (0, 50_000):
+        assert sorted(((r.text, r.n_lines, r.n_removed) for r in drop_lines(df, broadcast_rows=broadcast).collect()), key=repr) == brute(rows, 0.08, 5)[0]
+    plan = drop_lines(df, broadcast_rows=0)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

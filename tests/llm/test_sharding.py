@@ -59,3 +59,21 @@ def test_rebalancing_moves_slots_to_the_new_shard_only(spark, tmp_path):
     S.write_map(second, str(tmp_path / "map"))
     assert {r.version for r in S.read_map(spark, str(tmp_path / "map")).collect()} == {2}
     assert {r.virtual_slot: r.shard for r in S.read_map(spark, str(tmp_path / "map"), 1).collect()} == old
+
+
+def test_a_stored_map_is_used_and_edited(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    df = spark.createDataFrame([(i, "z" * (i % 89)) for i in range(4000)], "doc_id long, text string")
+    first = {r.doc_id: (r.shard, r.map_version) for r in S.shard(df, map_path=path).collect()}
+    more = df.union(spark.createDataFrame([(i, "new") for i in range(4000, 4100)], "doc_id long, text string"))
+    again = {r.doc_id: (r.shard, r.map_version) for r in S.shard(more, map_path=path).collect()}
+    assert len(again) == 4100 and {i: again[i] for i in first} == first  # nothing moves by itself
+    assert S.rebalance(more, path) == 2
+    grown = S.shard(more, map_path=path).collect()
+    _check(grown, [(r.doc_id, r.text) for r in more.collect()], 9)
+    assert all(r.map_version == 2 and r.shard in (again[r.doc_id][0], 8) for r in grown) and any(r.shard == 8 for r in grown)
+
+
+def test_no_python_runs(spark):
+    plan = S.shard(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

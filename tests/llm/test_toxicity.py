@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -77,3 +78,30 @@ def test_a_bounded_sample_is_enough(spark):
     df = spark.createDataFrame(corpus(1200, 5), "doc_id long, text string, toxic int")
     rows, toxic = T.training_rows(df.drop("toxic"), df.select("doc_id", "toxic"), 100)
     assert len(rows) == len(toxic) == 100
+
+
+def test_fit_is_the_top_of_the_plain_likelihood():
+    rows = [np.unique([f for w in set(T.words_of(t)) for f in T.features_of(w)]).astype(np.int32) for _, t, _ in corpus(500, 5)]
+    grades = T.grade(rows, np.array([y for _, _, y in corpus(500, 5)]))
+    m = T.fit(rows, grades, steps=4000)
+    place = {f: k for k, f in enumerate(m.index.tolist())}
+    columns = [[place[f] for f in r.tolist() if f in place] for r in rows]
+    weight = {True: 0.5 / (grades > 0).sum(), False: 0.5 / (grades == 0).sum()}
+
+    def likelihood(w, cuts):
+        """Mean log probability of the grades, clean and toxic rows counting alike, less the penalty of the weights."""
+        total = -0.5e-3 * sum(x * x for x in w)
+        for c, g in zip(columns, grades.tolist(), strict=True):
+            x = sum(w[k] for k in c)
+            upto = [0.0, *(1 / (1 + math.exp(x - t)) for t in cuts), 1.0]
+            total += weight[g > 0] * math.log(max(upto[g + 1] - upto[g], 1e-12))
+        return total
+
+    w, cuts = m.weights.tolist(), m.thresholds.tolist()
+    top = likelihood(w, cuts)
+    rnd = random.Random(2)
+    for size in (0.3, 0.1, 0.03):
+        for _ in range(20):
+            moved = sorted(t + rnd.gauss(0, size) for t in cuts)
+            assert likelihood([x + rnd.gauss(0, size) for x in w], moved) <= top + 1e-4
+            assert likelihood(w, moved) <= top + 1e-4

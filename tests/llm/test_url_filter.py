@@ -1,11 +1,16 @@
 import math
 import random
+import re
+import time
 from itertools import product
 
 import pytest
 
+from pathloom.llm import common
 from pathloom.llm import url_filter as U
 
+MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.I | re.S)
+
 PAGES = [
     (1, "https://www.Example.NET/en/x?q=1#f", "<p>spam farm spam</p>"),
     (2, "http://a.example.net/de/", "free bets"),
@@ -75,5 +80,58 @@ def test_counts_cover_all_pages(spark, sf):
 
     want = Counter()
     for r in pages.collect():
-        want.update(w for w in U._WORD.findall(U._MARKUP.sub(" ", r.html or "").lower()) if len(w) <= U.MAX_WORD)
+        want.update(w for w in U._WORD.findall(MARKUP.sub(" ", r.html or "").lower()) if len(w) <= U.MAX_WORD)
     assert {r.word: r.n for r in U.word_counts(pages).collect()} == dict(want)
+
+
+def test_markup_takes_time_in_proportion_to_the_page():
+    for html in ("<script" * 150_000, "<" * 1_000_000, "<style>" * 150_000 + "</script>", "<script>a</script" * 60_000):
+        began = time.process_time()
+        U.visible(html)
+        assert time.process_time() - began < 1
+
+
+def test_markup_is_what_the_pattern_says():
+    rnd = random.Random(9)
+    parts = ["<script>", "</script >", "<STYLE a=1>", "</style>", "<b>", "</b>", "<", ">", "x", " y ", "<scripty>", "<script"]
+    for _ in range(3000):
+        html = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        assert U._WORD.findall(U.visible(html).lower()) == U._WORD.findall(MARKUP.sub(" ", html).lower()), html
+
+
+def test_labels_of_any_length_are_split(spark):
+    host = "spamfarm" * 700
+    pages = [(1, f"http://{host}.com/", "spam farm " * 50), (2, "http://farm.com/", None)]
+    got = {r.page_id: r.words for r in U.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == ["spam", "farm"] * 700 + ["com"] and got[2] == ["farm", "com"]
+
+
+def test_scores_are_those_of_plain_bayes(spark, monkeypatch):
+    monkeypatch.setattr(common, "KEY_ROWS", 5)  # so that hosts and letters count as hot
+    rnd = random.Random(12)
+    stems = ["casino", "bet", "news", "book", "farm", "school", "win"]
+    pages = [(i, f"http://{rnd.choice(stems)}{rnd.choice(stems)}.{rnd.choice(['a', 'b'])}.example.{rnd.choice(['com', 'org', 'net'])}/{rnd.choice(['de', 'fr', 'en', ''])}/{rnd.choice(stems)}/{rnd.randint(0, 99)}", " ".join(rnd.choices(stems, k=30))) for i in range(300)]
+    got = U.judge(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    rules = {("net", "/"): "block", ("example.net", "/en/"): "allow", ("example.com", "/de/"): "block", ("org", "/fr/"): "allow"}
+    named, seen, urls = {"net", "example", "com", "org", "en", "de", "fr"}, {"block": {}, "allow": {}}, {"block": 0, "allow": 0}
+    for r in got:
+        fits = [(len(h + p), v) for (h, p), v in rules.items() if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule is None) == (not fits)
+        if fits:
+            verdict = max(fits)[1]
+            assert r.verdict == verdict
+            urls[verdict] += 1
+            for w in r.words:
+                if w not in named:
+                    seen[verdict][w] = seen[verdict].get(w, 0) + 1
+    size = {v: sum(seen[v].values()) + U.BUCKETS for v in seen}
+    free = [r for r in got if r.rule is None]
+    assert len(free) > 50 and min(urls.values()) > 20
+    for r in got:
+        odds = math.log(urls["block"] / urls["allow"])
+        for w in r.words:
+            if w not in named:
+                odds += math.log((seen["block"].get(w, 0) + 1) / size["block"]) - math.log((seen["allow"].get(w, 0) + 1) / size["allow"])
+        assert abs(odds - r.block_score) < 1e-9
+        if r.rule is None:
+            assert r.verdict == ("block" if odds > 0 else "allow")
