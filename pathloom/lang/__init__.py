@@ -20,5 +20,6 @@ from pathloom.lang.ast import (
 from pathloom.lang.builder import PathBuilder, SelectorsBuilder, SliceBuilder
 from pathloom.lang.errors import ParseError, RecursionLimitError, SyntaxErrorInfo, SyntaxErrorKind
 from pathloom.lang.parser import Parser, parse
+from pathloom.lang.serde import from_json, to_json
 
-__all__ = ["MAX_INT", "And", "Comparison", "Filter", "Index", "Name", "Not", "Or", "ParseError", "Parser", "Path", "PathBuilder", "RecursionLimitError", "Segment", "SelectorsBuilder", "SingularPath", "Slice", "SliceBuilder", "SyntaxErrorInfo", "SyntaxErrorKind", "Test", "Wildcard", "escape", "parse"]
+__all__ = ["from_json", "to_json","MAX_INT", "And", "Comparison", "Filter", "Index", "Name", "Not", "Or", "ParseError", "Parser", "Path", "PathBuilder", "RecursionLimitError", "Segment", "SelectorsBuilder", "SingularPath", "Slice", "SliceBuilder", "SyntaxErrorInfo", "SyntaxErrorKind", "Test", "Wildcard", "escape", "parse"]

@@ -2,7 +2,7 @@
 
 node(doc, node_id, parent_id, depth, key, idx, kind, start_idx, end_idx, last_desc_id): node_id counts in document order
 from 0, and the nodes inside a node are those up to last_desc_id. A child step is an equi-join on the parent, a
-descendant step an interval join within the document.
+descendant step a running maximum of interval ends within the document.
 """
 
 from __future__ import annotations
@@ -87,11 +87,14 @@ def select_nodes(nodes: DataFrame, query: str | Path) -> DataFrame:
         for s in segment.selectors:
             wanted = wanted | _condition(s)
         found = nodes.where(F.coalesce(wanted, F.lit(False)) & (F.col("node_id") > 0)).select("doc", "parent_id", "node_id", "last_desc_id", "start_idx", "end_idx", "kind")
-        above = at.select(F.col("doc"), F.col("node_id").alias("_p"), F.col("last_desc_id").alias("_last"))
         if segment.descendant:
-            # a semi join: a node inside several of the nodes above is found once
-            on = (found["doc"] == above["doc"]) & (found["node_id"] > above["_p"]) & (found["node_id"] <= above["_last"])
+            # nodes are nested or apart, so a node is inside one of those above if the farthest end before it reaches it:
+            # one sort of a document's rows, and a node inside several is found once
+            both = found.drop("parent_id").withColumn("_last", F.lit(None).cast("int")).unionByName(at.withColumn("_last", F.col("last_desc_id")))
+            reach = F.expr("max(_last) OVER (PARTITION BY doc ORDER BY node_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+            at = both.withColumn("_reach", reach).where("_last IS NULL AND _reach >= node_id")
         else:
-            on = (found["doc"] == above["doc"]) & (found["parent_id"] == above["_p"])
-        at = found.join(above, on, "left_semi").select("doc", "node_id", "last_desc_id", "start_idx", "end_idx", "kind")
+            above = at.select(F.col("doc"), F.col("node_id").alias("_p"))
+            at = found.join(above, (found["doc"] == above["doc"]) & (found["parent_id"] == above["_p"]), "left_semi")
+        at = at.select("doc", "node_id", "last_desc_id", "start_idx", "end_idx", "kind")
     return at.withColumn("seq", F.expr("row_number() OVER (PARTITION BY doc ORDER BY node_id) - 1")).drop("last_desc_id")

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pathloom.lang import MAX_INT, And, Comparison, Filter, Index, Name, Not, Or, ParseError, Path, PathBuilder, RecursionLimitError, Segment, Slice, SliceBuilder, SyntaxErrorKind, Test, Wildcard, escape, parse
+from pathloom.lang import MAX_INT, And, Comparison, Filter, Index, Name, Not, Or, ParseError, Path, PathBuilder, RecursionLimitError, Segment, Slice, SliceBuilder, SyntaxErrorKind, Test, Wildcard, escape, from_json, parse, to_json
 from pathloom.lang import builder as b
 from pathloom.lang.ast import Literal, Operand, SingularPath
 
@@ -176,6 +176,19 @@ def test_text_of_filters_parses_back_to_the_same_meaning(e, rnd):
     assert meaning(found, truth) == meaning(e, truth)
 
 
+@settings(max_examples=300, deadline=None)
+@given(paths_of(plain), exprs)
+def test_json_of_queries_reads_back(path, e):
+    for p in (path, Path((Segment((Filter(e),)),)), Path((*path.segments, Segment((Filter(e), *(path.segments[0].selectors if path.segments else ())), True)))):
+        assert from_json(to_json(p)) == p
+
+
+@pytest.mark.parametrize("text", ["{}", "[]", "7", '{"version":2,"segments":[]}', '{"version":1,"segments":[{"descendant":false,"selectors":[]}]}', '{"version":1,"segments":[{"descendant":false,"selectors":[{"index":"a"}]}]}', '{"version":1,"segments":[{"descendant":false,"selectors":[{"name":1}]}]}', "nothing"])
+def test_json_that_is_no_query(text):
+    with pytest.raises(ValueError):
+        from_json(text)
+
+
 @settings(max_examples=500, deadline=None)
 @given(st.text("$.[]*?@'\"\\ua01-:,()!&|=<> é", max_size=20))
 def test_any_text_parses_or_raises(text):
