@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import Scratch
 
-N_SLOTS = 4096
+#: Virtual slots, and parts of a slot whose rows are numbered on their own.
+N_SLOTS, PARTS = 4096, 16
 
 
 def with_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
@@ -100,10 +101,14 @@ def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path:
     path = map_path or f"{scratch.root}/map"
     if not has_map(spark, path):
         write_map(build_map(slots, n_shards), path)
-    by = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = read_map(spark, path).join(F.broadcast(slots), "virtual_slot").select("virtual_slot", "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("rows").over(by), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    return rows.withColumn("n", within).join(F.broadcast(placed), "virtual_slot").select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("n") - 1).cast("long").alias("slot"), "virtual_slot", "map_version")
+    # a slot's rows are numbered in parts, each after those before it in its shard
+    numbered = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("part")), F.lit(PARTS)).cast("int"))
+    parts = numbered.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("rows"))  # n_slots * PARTS rows at most
+    by = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.join(F.broadcast(read_map(spark, path)), "virtual_slot").select("virtual_slot", "part", "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("rows").over(by), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size"))
+    found = numbered.withColumn("n", within).join(F.broadcast(placed), ["virtual_slot", "part"])
+    return found.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("n") - 1).cast("long").alias("slot"), "virtual_slot", "map_version")
 
 
 def rebalance(docs: DataFrame, map_path: str, n_slots: int = N_SLOTS) -> int:
