@@ -31,7 +31,7 @@ def _lines(col: str):
 
 def _key(x):
     """128 bits of a line without the white space around it; null for a blank one."""
-    t = F.trim(F.regexp_replace(x, r"^[\t\r\x0b\x0c ]+|[\t\r\x0b\x0c ]+$", ""))
+    t = F.trim(x, F.lit("\t\r\x0b\x0c "))
     a, b = wide_hash(t)
     return F.when(t != "", F.struct(a.alias("a"), b.alias("b")))
 
