@@ -28,12 +28,14 @@ WINDOW, ANCHOR = 13, 5
 GROUP = 2_000
 
 
-def _selected(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors' hashes, and for each window the place of the one it selects (the last of equal ones)."""
-    g = runs(h, anchor)
-    width = window - anchor + 1
-    view = np.lib.stride_tricks.sliding_window_view(g, width)[:, ::-1]
-    return g, np.arange(len(view)) + (width - 1) - view.argmin(1)
+def _selected(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
+    """The hash of the anchor that each window selects: the smallest of its runs of that many words."""
+    low, width, have = runs(h, anchor), window - anchor + 1, 1
+    while have < width:  # low holds the minima of so many runs each
+        step = min(have, width - have)
+        low = np.minimum(low[:-step], low[step:])
+        have += step
+    return low
 
 
 def _words(text) -> list[bytes]:
@@ -50,8 +52,7 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             for doc, text in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), strict=True):
                 words = _words(text)
                 if len(words) >= window:
-                    g, at = _selected(memo.of(words), window, anchor)
-                    got, n = np.unique(g[at], return_counts=True)
+                    got, n = np.unique(_selected(memo.of(words), window, anchor), return_counts=True)
                     found.append(got.view(np.int64))
                     ids.append(np.full(len(got), doc, np.int64))
                     places.append(n.astype(np.int32))
@@ -80,8 +81,7 @@ def _extensions(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 known, parts = shared.values.to_numpy(), part.values.to_numpy()
                 order = np.argsort(known, kind="stable")
                 known, parts = known[order], parts[order]
-                g, at = _selected(h, window, anchor)
-                seed = g[at].view(np.int64)
+                seed = _selected(h, window, anchor).view(np.int64)
                 use = known[np.minimum(np.searchsorted(known, seed), len(known) - 1)] == seed
                 seed, w = seed[use], runs(h, window, SECOND).view(np.int64)[use]
                 if not len(seed):
