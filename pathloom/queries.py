@@ -6,12 +6,19 @@ orders and these' parts. The SQL never reads JSON paths: it answers from the tab
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions import JsonPath, jsonpath_many, register
+from pathloom.lang import ParseError, PathBuilder, from_json, parse, to_json
 from pathloom.operators.nodes import node_table, select_nodes
 from pathloom.plans.table import corpus_count, jsonpath_table, jsonpath_values, parsed_values
+from pathloom.sources import from_strings, read_documents, write_matches
+from pathloom.streaming import start_matches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -176,3 +183,108 @@ def _sql(s: SparkSession, d: str, text: str) -> DataFrame:
 _q("sql_count", f"WITH {_L} SELECT o, count(*)::BIGINT matches FROM l GROUP BY o")(lambda s, d: _sql(s, d, "SELECT o, jsonpath_count(json, '$.lines[*]') AS matches FROM {docs}"))
 _q("sql_udtf", f"WITH {_L} SELECT o, i::INT seq, p AS value FROM l")(lambda s, d: _sql(s, d, "SELECT o, n.seq, CAST(n.value AS bigint) AS value FROM {docs}, LATERAL jsonpath_nodes(json, '$..p') AS n"))
 _q("sql_matches", f"WITH {_L} SELECT o, i::INT seq, p AS value FROM l")(lambda s, d: _sql(s, d, "SELECT o, seq, CAST(value AS bigint) AS value FROM {docs} LATERAL VIEW inline(jsonpath_matches(json, '$..p')) n AS seq, start_idx, end_idx, kind, value"))
+
+# sources, sinks, streams and errors; what they store goes to the folder that all machines see
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in spark.checkpoint.dir, or in the warehouse where that is unset; deleted when the process ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _lines_of_events(spark: SparkSession, sf_dir: str) -> str:
+    path = _folder(spark, "lines")
+    events(spark, sf_dir).select("props").write.text(path)
+    return path
+
+
+def _files_of_regions(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
+    """The name of each region, from a file that holds its document and nothing else."""
+    path = _folder(spark, "files")
+    region = _table(spark, sf_dir, "region")
+    text = F.concat(F.lit('{"r": {"key": '), F.col("r_regionkey").cast("string"), F.lit(', "name": "'), "r_name", F.lit('"}}'))
+    region.select(text.alias("json"), F.col("r_regionkey").alias("file")).repartition("file").write.partitionBy("file").text(path)
+    return jsonpath_table(read_documents(spark, f"{path}/file=*", layout), "json", "$..name", []).select("seq", "value")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "matches")
+    write_matches(jsonpath_table(events(spark, sf_dir), "props", "$.k"), path)
+    return spark.read.text(path)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, out = read_documents(spark, _lines_of_events(spark, sf_dir), "lines", streaming=True), _folder(spark, "streamed")
+    put = lambda matches, batch: matches.select("seq", "value").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    start_matches(documents, "$.k", put, _folder(spark, "progress"), available_now=True).awaitTermination()
+    return spark.read.parquet(out).select("seq", "value")
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with every third document cut before its last bracket."""
+    whole = F.col("event_id") % 3 != 0
+    return events(spark, sf_dir).withColumn("props", F.when(whole, F.col("props")).otherwise(F.expr("substring(props, 1, length(props) - 1)")))
+
+
+_q("source_lines", "SELECT 0::INT seq, props->>'k' AS value FROM events")(lambda s, d: jsonpath_table(read_documents(s, _lines_of_events(s, d), "lines"), "json", "$.k", []).select("seq", "value"))
+_q("source_files", "SELECT 0::INT seq, '\"' || r_name || '\"' AS value FROM region")(lambda s, d: _files_of_regions(s, d, "file"))
+_q("source_binary", "SELECT 0::INT seq, '\"' || r_name || '\"' AS value FROM region")(lambda s, d: _files_of_regions(s, d, "binary"))
+_q("source_strings", "SELECT * FROM (VALUES (0::BIGINT, 0::INT, '1'), (0::BIGINT, 1, '[2,{\"a\":3}]'), (0::BIGINT, 2, '3'), (1::BIGINT, 0, 'null')) t (doc_id, seq, value)")(lambda s, d: jsonpath_table(from_strings(s, ['{"a":1,"b":{"a":[2,{"a":3}]}}', b' {"a" : null} ', "[]"]), "json", "$..a").select("doc_id", "seq", "value"))
+_q("sink_text", "SELECT props->>'k' AS value FROM events")(_written)
+_q("stream_lines", "SELECT 0::INT seq, props->>'k' AS value FROM events")(_streamed)
+_q("error_column", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'MissingClosingCharacter' END AS error FROM events")(lambda s, d: _broken(s, d).select("event_id", F.regexp_extract(JsonPath.compile("$..*").error("props"), r"^\w+", 0).alias("error")))
+_q("errors_null", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 1::BIGINT END AS matches FROM events")(lambda s, d: _broken(s, d).select("event_id", JsonPath.compile("$..*", errors="null").count("props").alias("matches")))
+_q("stored_query", f"WITH {_L} SELECT o, ((i - 1) // 2)::INT seq, p AS value FROM l WHERE i IN (1, 3)")(lambda s, d: _matches(order_docs(s, d), "o", JsonPath.compile(from_json(to_json(parse("$.lines[1:4:2].p"))))))
+
+# the language itself: rows that the driver makes
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    """SQL for rows of strings and integers."""
+    text = ", ".join("(" + ", ".join(f"{v}::INT" if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {text}) t ({names})"
+
+
+#: Queries and their canonical text.
+_TEXTS = [
+    ("$", "$"),
+    ("$.a", "$['a']"),
+    ("$ ..b[ 'c' , * ]", "$..['b']['c', *]"),
+    ("$[0:5:1]", "$[:5]"),
+    ("$[::-1]", "$[::-1]"),
+    ('$["it\'s"]', "$['it\\'s']"),
+    ("$[?(@.a==1e2)]", "$[?@['a'] == 100]"),
+    ("$[?!(@.a>1||$.b)&&@.c]", "$[?!(@['a'] > 1 || $['b']) && @['c']]"),
+]
+#: Queries with the kind of their error, its byte position and length.
+_ERRORS = [
+    ("a", "MISSING_ROOT_IDENTIFIER"),
+    ("$[01]", "LEADING_ZEROS"),
+    ("$[-0]", "NEGATIVE_ZERO_INTEGER"),
+    ("$['a", "MISSING_CLOSING_SINGLE_QUOTE"),
+    ("$[?!@.a == 1]", "INVALID_NEGATION"),
+    ("$[?@.* == 1]", "NON_SINGULAR_QUERY_IN_COMPARISON"),
+    (" $", "DISALLOWED_LEADING_WHITESPACE"),
+]
+
+
+def _kind_of_error(query: str) -> str:
+    try:
+        parse(query)
+    except ParseError as e:
+        return e.errors[0].kind.name
+    return "none"
+
+
+_q("canonical_text", _values(_TEXTS, "query, text"))(lambda s, d: s.createDataFrame([(q, str(parse(q))) for q, _ in _TEXTS], "query string, text string"))
+_q("syntax_errors", _values(_ERRORS, "query, kind"))(lambda s, d: s.createDataFrame([(q, _kind_of_error(q)) for q, _ in _ERRORS], "query string, kind string"))
+_q("built_query", f"WITH {_L} SELECT o, (row_number() OVER (PARTITION BY o ORDER BY i) - 1)::INT seq, n::BIGINT AS value FROM l WHERE i % 2 = 0")(lambda s, d: _matches(order_docs(s, d), "o", JsonPath(PathBuilder().child_name("lines").child(lambda b: b.slice(step=2)).child_name("n").to_query())))
