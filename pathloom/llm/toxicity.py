@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import ALNUM, extended, tidy
+from pathloom.llm.common import ALNUM, Scratch, extended, tidy
 
 #: Size of the hashed feature space.
 DIMS = 1 << 20
@@ -102,22 +102,33 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, l2: float = 1e-3, steps: int
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct features and the 0/1 mark of at most max_train labelled rows.
+    """Distinct features and the 0/1 mark of at most max_train labelled rows, without features that screening drops anyway.
 
     A doc_id that is labelled twice counts as toxic if either label says so; null ids, labels and texts are left out.
+    What reaches the driver does not grow with the texts' lengths: features that many clean rows have stay behind.
     """
+    scratch = Scratch(docs.sparkSession, "toxicity")
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # max_train rows of two numbers: broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.unique(np.array([f for w in set(words_of(t.as_py())) for f in features_of(w)], np.int32)).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "toxic", "features"])
+            sets = [np.unique(np.array([f for w in set(words_of(t.as_py())) for f in features_of(w)], np.int32)) for t in batch.column(2)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "toxic", "features"])
 
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id"), "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), "toxic", "text")
-    found = texts.mapInArrow(tidy(run), "doc_id long, toxic int, features binary").dropDuplicates(["doc_id"])
-    got = sorted((r["doc_id"], r["toxic"], bytes(r["features"])) for r in found.toLocalIterator())
-    return [np.frombuffer(f, np.int32) for _, _, f in got], np.array([t for _, t, _ in got], int)
+    found = scratch.save(texts.mapInArrow(tidy(run), "doc_id long, toxic int, features array<int>").dropDuplicates(["doc_id"]), "rows")
+    n1 = found.where("toxic > 0").count()
+    n0 = found.count() - n1
+    seen = found.select(F.explode("features").alias("f"), F.col("toxic").alias("t")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("t") > 0).cast("long")).alias("in_toxic"))
+    # a little wider than the screening in fit(), which decides
+    enough = (F.col("in_toxic") >= MIN_ROWS) & (F.col("in_toxic") * (n0 or 1) * (1 + 1e-9) >= MIN_LIFT * (n1 or 1) * (F.col("n") - F.col("in_toxic")))
+    known = scratch.save(seen.where(enough).select("f"), "features")
+    held = found.select("doc_id", F.explode("features").alias("f")).join(known, "f").groupBy("doc_id").agg(F.sort_array(F.collect_list("f")).alias("features"))
+    got = sorted((r["doc_id"], r["toxic"], r["features"] or ()) for r in found.select("doc_id", "toxic").join(held, "doc_id", "left").toLocalIterator())
+    scratch.drop(found, known)
+    return [np.array(f, np.int32) for _, _, f in got], np.array([t for _, t, _ in got], int)
 
 
 def grade(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
