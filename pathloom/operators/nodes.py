@@ -1,13 +1,15 @@
-"""The node table: documents shredded to rows, and queries as joins over them.
+"""The node table: documents shredded to rows, and queries as window functions over them.
 
 node(doc, node_id, parent_id, depth, key, idx, kind, start_idx, end_idx, last_desc_id): node_id counts in document order
-from 0, and the nodes inside a node are those up to last_desc_id. A child step is an equi-join on the parent, a
-descendant step a running maximum of interval ends within the document.
+from 0, and the nodes inside a node are those up to last_desc_id. A child step compares a node with its parent in a
+window over the family, a descendant step is a running maximum of interval ends within the document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,27 +76,32 @@ def _condition(s: Selector) -> Column:
 def select_nodes(nodes: DataFrame, query: str | Path) -> DataFrame:
     """(doc, node_id, start_idx, end_idx, kind, seq) of the nodes that a query selects; seq counts a document's matches.
 
-    The step's condition is applied before the join, so only candidates are shuffled. Sets are kept by removing repeats
-    after each descendant step, which alone can reach a node twice. Executes what compat mode does, and unions.
+    The nodes are read once and those that no step wants are dropped first, so only candidates are shuffled, once, by
+    document; steps are window functions within a document, which find each node once. doc must tell documents apart.
+    Executes what compat mode does, and unions.
     """
     path = query if isinstance(query, Path) else parse(query)
     for segment in path.segments:
         for s in segment.selectors:
             check_supported(Path((type(segment)((s,), segment.descendant),)))
-    at = nodes.where("node_id = 0").select("doc", "node_id", "last_desc_id", "start_idx", "end_idx", "kind")
-    for segment in path.segments:
-        wanted = F.lit(False)
-        for s in segment.selectors:
-            wanted = wanted | _condition(s)
-        found = nodes.where(F.coalesce(wanted, F.lit(False)) & (F.col("node_id") > 0)).select("doc", "parent_id", "node_id", "last_desc_id", "start_idx", "end_idx", "kind")
+    wanted = [F.coalesce(reduce(or_, map(_condition, g.selectors)), F.lit(False)) & (F.col("node_id") > 0) for g in path.segments]
+    steps = [f"_step{k}" for k in range(len(wanted))]
+    root = F.col("node_id") == 0
+    kept = ["doc", "node_id", "parent_id", "last_desc_id", "start_idx", "end_idx", "kind"]
+    # one pass over the nodes and one exchange by document: each row carries which steps it would do for
+    at = nodes.where(reduce(or_, wanted, root)).select(*kept, *(w.alias(n) for w, n in zip(wanted, steps, strict=True)), root.alias("_in")).repartition("doc")
+    for k, (segment, step) in enumerate(zip(path.segments, steps, strict=True)):
         if segment.descendant:
-            # nodes are nested or apart, so a node is inside one of those above if the farthest end before it reaches it:
-            # one sort of a document's rows, and a node inside several is found once
-            both = found.drop("parent_id").withColumn("_last", F.lit(None).cast("int")).unionByName(at.withColumn("_last", F.col("last_desc_id")))
-            reach = F.expr("max(_last) OVER (PARTITION BY doc ORDER BY node_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-            at = both.withColumn("_reach", reach).where("_last IS NULL AND _reach >= node_id")
+            # nodes are nested or apart, so a node is inside one of those above if the farthest end before it reaches it
+            above = F.expr("max(IF(_in, last_desc_id, NULL)) OVER (PARTITION BY doc ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= node_id")
         else:
-            above = at.select(F.col("doc"), F.col("node_id").alias("_p"))
-            at = found.join(above, (found["doc"] == above["doc"]) & (found["parent_id"] == above["_p"]), "left_semi")
-        at = at.select("doc", "node_id", "last_desc_id", "start_idx", "end_idx", "kind")
-    return at.withColumn("seq", F.expr("row_number() OVER (PARTITION BY doc ORDER BY node_id) - 1")).drop("last_desc_id")
+            # a selected node meets its children as one more row of their family
+            at = at.withColumn("_family", F.explode(F.when(F.col("_in"), F.array("parent_id", "node_id")).otherwise(F.array("parent_id"))))
+            above = F.expr("bool_or(_in AND _family = node_id) OVER (PARTITION BY doc, _family)")
+        at = at.withColumn("_above", above)
+        if not segment.descendant:
+            at = at.where("_family = parent_id")
+        later = steps[k + 1 :]
+        at = at.select(*kept, *later, (F.col(step) & F.coalesce("_above", F.lit(False))).alias("_in")).where(reduce(or_, map(F.col, later), F.col("_in")))
+    at = at.where("_in").select("doc", "node_id", "start_idx", "end_idx", "kind")
+    return at.withColumn("seq", F.expr("row_number() OVER (PARTITION BY doc ORDER BY node_id) - 1"))

@@ -42,6 +42,17 @@ def test_node_table_gives_what_the_scanner_gives(docs, query):
     assert got == want
 
 
+@pytest.mark.parametrize("query", ["$..a..a", "$.*.*", "$..*..*", "$[*][1]", "$..a[1].b", "$.a[1]..b", "$..*[0]", "$.a.a", "$.c[1].d"])
+def test_steps_over_the_node_table(docs, query):
+    got = {(r.doc, r.seq, r.start_idx, r.end_idx) for r in select_nodes(node_table(docs, "id", "json"), query).collect()}
+    assert got == {(i, k, a, b) for i, d in enumerate(DOCS) if d is not None for k, (a, b) in enumerate(JsonPath.compile(query).spans_of(d))}
+
+
+def test_nodes_are_read_and_shuffled_once(docs):
+    plan = select_nodes(node_table(docs, "id", "json"), "$.a[*]..b.*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == plan.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("query", [p for p in PATHS if p != "$"])
 def test_variant_gives_the_same_values(spark, docs, query):
     parsed = docs.select("id", F.try_parse_json("json").alias("v"))
