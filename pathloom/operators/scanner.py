@@ -14,10 +14,14 @@ from pathloom.errors import DepthAboveLimitError, DepthBelowZeroError, Malformed
 MAX_DEPTH = 255
 WHITESPACE = b" \t\n\r"
 _BLANK = re.compile(rb"[ \t\n\r]*+")
-_SEPARATORS = re.compile(rb"[ \t\n\r,]*+")
 _TO_VALUE = re.compile(rb"[ \t\n\r]*+:[ \t\n\r]*+")
-_STRING = re.compile(rb'"[^"\\]*+(?:\\.[^"\\]*+)*+"', re.S)
-_ATOM = re.compile(rb'[^ \t\n\r,:\[\]{}"]++(?:[ \t]++[^ \t\n\r,:\[\]{}"]++)*+')
+_QUOTED = rb'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_BARE = rb'[^ \t\n\r,:\[\]{}"]++(?:[ \t]++[^ \t\n\r,:\[\]{}"]++)*+'
+_STRING = re.compile(_QUOTED, re.S)
+_ATOM = re.compile(_BARE)
+# what stands before an item or member, then the member's key, and the value if it is atomic
+_ITEM = re.compile(rb"[ \t\n\r,]*+(" + _QUOTED + b"|" + _BARE + b")?+", re.S)
+_MEMBER = re.compile(rb"[ \t\n\r,]*+(?:(" + _QUOTED + rb")[ \t\n\r]*+:[ \t\n\r]*+(" + _QUOTED + b"|" + _BARE + b")?+)?+", re.S)
 _NEXT_BRACKET = re.compile(rb'[^"{}\[\]]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^"{}\[\]]*+)*+([{}\[\]])', re.S)
 _OPEN = {123, 91}
 
@@ -119,37 +123,50 @@ class Scan:
         is_list, index, place = buf[at] == 91, 0, -1
         pos, size, unitary = at + 1, len(buf), a.is_unitary(state)
         while True:
-            pos = _SEPARATORS.match(buf, pos).end()
-            if pos >= size:
-                raise MissingClosingCharacterError(at, "an object or list is not closed")
-            c = buf[pos]
-            if c == 125 or c == 93:
-                pos += 1
-                if place >= 0:
-                    ends[place] = pos
-                if not stack:
-                    return pos
-                state, is_list, index, place = stack.pop()
-                unitary = a.is_unitary(state)
-                if unitary and not is_list:
-                    pos = self._tail(buf, pos)
-                continue
+            m = _ITEM.match(buf, pos) if is_list else _MEMBER.match(buf, pos)
+            pos, got = m.end(), m.lastindex
+            if got is None:
+                if pos >= size:
+                    raise MissingClosingCharacterError(at, "an object or list is not closed")
+                c = buf[pos]
+                if c == 125 or c == 93:
+                    pos += 1
+                    if place >= 0:
+                        ends[place] = pos
+                    if not stack:
+                        return pos
+                    state, is_list, index, place = stack.pop()
+                    unitary = a.is_unitary(state)
+                    if unitary and not is_list:
+                        pos = self._tail(buf, pos)
+                    continue
             if is_list:
                 below = on_index(state, index)
                 index += 1
-            else:
+                if got:  # an atomic item
+                    if below & accept:
+                        starts.append(m.start(1))
+                        ends.append(pos)
+                    continue
+            elif got is None:
                 if c != 34:
                     pos = end_of_value(buf, pos) if c != 58 else pos + 1  # no key: read over it
                     continue
                 m = _STRING.match(buf, pos)
                 if m is None:
                     raise MalformedStringQuotesError(pos, "a string is not closed")
-                v = _TO_VALUE.match(buf, m.end())
-                if v is None:  # no value belongs to this string
-                    pos = m.end()
+                pos = m.end()  # no value belongs to this string
+                continue
+            else:
+                key = m[1]
+                below = on_name(state, key) if not unitary or key in a._by_name else on_other(state)  # noqa: SLF001
+                if got == 2:  # an atomic member
+                    if below & accept:
+                        starts.append(m.start(2))
+                        ends.append(pos)
+                        if unitary:
+                            pos = self._tail(buf, pos)
                     continue
-                below = on_name(state, m[0]) if not unitary or m[0] in a._by_name else on_other(state)  # noqa: SLF001
-                pos = v.end()
                 if pos >= size or buf[pos] in (44, 125, 93):
                     continue
                 c = buf[pos]
@@ -214,29 +231,39 @@ def shred(buf: bytes) -> list[tuple]:
     stack: list[tuple[int, bool, int]] = []
     node, is_list, index, pos, size = 0, buf[at] == 91, 0, at + 1, len(buf)
     while True:
-        pos = _SEPARATORS.match(buf, pos).end()
-        if pos >= size:
-            raise MissingClosingCharacterError(rows[node][6], "an object or list is not closed")
-        c, key = buf[pos], None
-        if c == 125 or c == 93:
-            pos += 1
-            rows[node][7], rows[node][8] = pos, len(rows) - 1
-            if not stack:
-                return [tuple(r) for r in rows]
-            node, is_list, index = stack.pop()
-            continue
-        if not is_list:
-            if c != 34:
-                pos = end_of_value(buf, pos) if c != 58 else pos + 1
+        m = _ITEM.match(buf, pos) if is_list else _MEMBER.match(buf, pos)
+        pos, got, key = m.end(), m.lastindex, None
+        if got is None:
+            if pos >= size:
+                raise MissingClosingCharacterError(rows[node][6], "an object or list is not closed")
+            c = buf[pos]
+            if c == 125 or c == 93:
+                pos += 1
+                rows[node][7], rows[node][8] = pos, len(rows) - 1
+                if not stack:
+                    return [tuple(r) for r in rows]
+                node, is_list, index = stack.pop()
                 continue
-            m = _STRING.match(buf, pos)
-            if m is None:
-                raise MalformedStringQuotesError(pos, "a string is not closed")
-            v = _TO_VALUE.match(buf, m.end())
-            pos = m.end() if v is None else v.end()
-            if v is None or pos >= size or buf[pos] in (44, 125, 93):
+            if not is_list:
+                if c != 34:
+                    pos = end_of_value(buf, pos) if c != 58 else pos + 1
+                    continue
+                m = _STRING.match(buf, pos)
+                if m is None:
+                    raise MalformedStringQuotesError(pos, "a string is not closed")
+                pos = m.end()
                 continue
-            key, c = m[0], buf[pos]
+        elif not is_list:
+            key = m[1]
+            if got == 1:
+                if pos >= size or buf[pos] in (44, 125, 93):
+                    continue
+                c = buf[pos]
+        if got == 2 or got and is_list:
+            new = len(rows)
+            rows.append([new, node, len(stack) + 1, key, index if is_list else None, "atomic", m.start(got), pos, new])
+            index += 1
+            continue
         if c == 58:
             pos += 1
             continue
