@@ -1,14 +1,16 @@
 """The node table: documents shredded to rows, and queries as window functions over them.
 
 node(doc, node_id, parent_id, depth, key, idx, kind, start_idx, end_idx, last_desc_id): node_id counts in document order
-from 0, and the nodes inside a node are those up to last_desc_id. A child step compares a node with its parent in a
-window over the family, a descendant step is a running maximum of interval ends within the document.
+from 0, and the nodes inside a node are those up to last_desc_id. A descendant step is a running maximum of interval ends
+within the document. A child step compares a node's parent with the last selected node before it; after a descendant step
+selected nodes may be nested, and a window over the family takes its place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import takewhile
 from operator import or_
 
 import pyarrow as pa
@@ -84,24 +86,31 @@ def select_nodes(nodes: DataFrame, query: str | Path) -> DataFrame:
     for segment in path.segments:
         for s in segment.selectors:
             check_supported(Path((type(segment)((s,), segment.descendant),)))
+    fixed = len(list(takewhile(lambda g: not g.descendant, path.segments)))  # steps that lead to one depth
     wanted = [F.coalesce(reduce(or_, map(_condition, g.selectors)), F.lit(False)) & (F.col("node_id") > 0) for g in path.segments]
-    steps = [f"_step{k}" for k in range(len(wanted))]
-    root = F.col("node_id") == 0
+    wanted = [w & (F.col("depth") == k + 1) if k < fixed else w for k, w in enumerate(wanted)]
+    steps = [f"_step{k}" for k in range(1, len(wanted))]
     kept = ["doc", "node_id", "parent_id", "last_desc_id", "start_idx", "end_idx", "kind"]
-    # one pass over the nodes and one exchange by document: each row carries which steps it would do for
-    at = nodes.where(reduce(or_, wanted, root)).select(*kept, *(w.alias(n) for w, n in zip(wanted, steps, strict=True)), root.alias("_in")).repartition("doc")
-    for k, (segment, step) in enumerate(zip(path.segments, steps, strict=True)):
+    # one pass over the nodes and one exchange by document: each row carries which steps it would do for, and whether the
+    # first one, which starts from the root, selects it
+    first = wanted[0] if wanted else F.col("node_id") == 0
+    at = nodes.where(reduce(or_, wanted, first)).select(*kept, *(w.alias(n) for w, n in zip(wanted[1:], steps, strict=True)), first.alias("_in")).repartition("doc")
+    before = "OVER (PARTITION BY doc ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    for k, (segment, step) in enumerate(zip(path.segments[1:], steps, strict=True), 1):
         if segment.descendant:
             # nodes are nested or apart, so a node is inside one of those above if the farthest end before it reaches it
-            above = F.expr("max(IF(_in, last_desc_id, NULL)) OVER (PARTITION BY doc ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= node_id")
+            above = F.expr(f"max(IF(_in, last_desc_id, NULL)) {before} >= node_id")
+        elif k < fixed:
+            # those above are of one depth, so the last one before a node is its parent or none is
+            above = F.expr(f"last(IF(_in, node_id, NULL), true) {before} = parent_id")
         else:
             # a selected node meets its children as one more row of their family
             at = at.withColumn("_family", F.explode(F.when(F.col("_in"), F.array("parent_id", "node_id")).otherwise(F.array("parent_id"))))
             above = F.expr("bool_or(_in AND _family = node_id) OVER (PARTITION BY doc, _family)")
         at = at.withColumn("_above", above)
-        if not segment.descendant:
+        if "_family" in at.columns:
             at = at.where("_family = parent_id")
-        later = steps[k + 1 :]
+        later = steps[k:]
         at = at.select(*kept, *later, (F.col(step) & F.coalesce("_above", F.lit(False))).alias("_in")).where(reduce(or_, map(F.col, later), F.col("_in")))
     at = at.where("_in").select("doc", "node_id", "start_idx", "end_idx", "kind")
     return at.withColumn("seq", F.expr("row_number() OVER (PARTITION BY doc ORDER BY node_id) - 1"))
