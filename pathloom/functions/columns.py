@@ -15,6 +15,7 @@ from pathloom.automaton import Automaton, check_supported, names_required
 from pathloom.errors import JsonPathRuntimeError
 from pathloom.lang import Parser
 from pathloom.lang.ast import Index, Path, Slice
+from pathloom.operators.bulk import select_many, texts_of
 from pathloom.operators.scanner import Scan
 from pathloom.operators.tree import Evaluator
 
@@ -23,14 +24,21 @@ NODE = "array<struct<seq:int,start_idx:bigint,end_idx:bigint,kind:string,value:s
 _BLANK = " \t\n\r"
 
 
-def _ends(counts: list[int]) -> pa.Array:
-    return pa.array(np.cumsum([0, *counts], dtype=np.int32))
+#: Matches of an array of documents: how many each has, which have null, and all starts and ends in their order.
+_Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _lists(counts: list[int], values: pa.Array, nulls: list[bool]) -> pa.Array:
-    if any(nulls):
-        return pa.ListArray.from_arrays(_ends(counts), values, mask=pa.array(nulls))
-    return pa.ListArray.from_arrays(_ends(counts), values)
+def _lists(counts: np.ndarray, values: pa.Array, nulls: np.ndarray) -> pa.Array:
+    ends = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+    if nulls.any():
+        return pa.ListArray.from_arrays(ends, values, mask=pa.array(nulls))
+    return pa.ListArray.from_arrays(ends, values)
+
+
+def _one_by_one(documents: pa.Array, spans_of: Callable) -> _Found:
+    found = [None if (t := d.as_py()) is None else spans_of(t.encode("utf-8", "surrogatepass")) for d in documents]
+    counts, nulls = np.array([len(s or ()) for s in found], np.int64), np.array([s is None for s in found], bool)
+    return counts, nulls, *(np.array([x[k] for s in found for x in s or ()], np.int64) for k in (0, 1))
 
 
 class JsonPath:
@@ -106,9 +114,10 @@ class JsonPath:
             out = has if out is None else out & has
         return out
 
-    def _over(self, doc: Column | str, kind: str, build: Callable[[pa.Array, Callable], pa.Array], null: Column) -> Column:
-        """A column computed by build from documents and a function from one of them to its spans."""
+    def _over(self, doc: Column | str, kind: str, build: Callable[[pa.Array, _Found], pa.Array], null: Column) -> Column:
+        """A column computed by build from documents and their matches."""
         path, mode, keys, strict = self.path, self.mode, self.keys, self.errors == "raise"
+        many = self.automaton is None and keys == "raw"
         compiled: list = []
 
         def spans_of(raw: bytes) -> list[tuple[int, int]] | None:
@@ -124,7 +133,7 @@ class JsonPath:
 
         @F.arrow_udf(kind)
         def run(documents: pa.Array) -> pa.Array:
-            return build(documents, spans_of)
+            return build(documents, select_many(documents, path, spans_of) if many else _one_by_one(documents, spans_of))
 
         doc = F.col(doc) if isinstance(doc, str) else doc
         must = self.prefilter(doc) if strict else None
@@ -139,9 +148,9 @@ class JsonPath:
         if self.is_root:
             return (F.length(F.trim(doc, F.lit(_BLANK))) > 0).cast("bigint")
 
-        def build(documents: pa.Array, spans_of: Callable) -> pa.Array:
-            out = [None if (t := d.as_py()) is None or (s := spans_of(t.encode("utf-8", "surrogatepass"))) is None else len(s) for d in documents]
-            return pa.array(out, pa.int64())
+        def build(documents: pa.Array, found: _Found) -> pa.Array:
+            counts, nulls, _, _ = found
+            return pa.array(counts, pa.int64(), mask=nulls)
 
         return self._over(doc, "bigint", build, F.lit(0).cast("bigint"))
 
@@ -151,10 +160,9 @@ class JsonPath:
         if self.is_root or self.is_empty:
             return F.transform(self.spans(doc), lambda s: s["start_idx"])
 
-        def build(documents: pa.Array, spans_of: Callable) -> pa.Array:
-            found = [None if (t := d.as_py()) is None else spans_of(t.encode("utf-8", "surrogatepass")) for d in documents]
-            flat = [a for s in found for a, _ in s or ()]
-            return _lists([len(s or ()) for s in found], pa.array(flat, pa.int64()), [s is None for s in found])
+        def build(documents: pa.Array, found: _Found) -> pa.Array:
+            counts, nulls, start, _ = found
+            return _lists(counts, pa.array(start, pa.int64()), nulls)
 
         return self._over(doc, "array<bigint>", build, F.array().cast("array<bigint>"))
 
@@ -169,11 +177,10 @@ class JsonPath:
             end = F.octet_length(F.rtrim(doc, F.lit(_BLANK))).cast("bigint")
             return F.when(F.length(F.trim(doc, F.lit(_BLANK))) > 0, F.array(F.struct(start.alias("start_idx"), end.alias("end_idx")))).when(doc.isNotNull(), none)
 
-        def build(documents: pa.Array, spans_of: Callable) -> pa.Array:
-            found = [None if (t := d.as_py()) is None else spans_of(t.encode("utf-8", "surrogatepass")) for d in documents]
-            start, end = ([x[k] for s in found for x in s or ()] for k in (0, 1))
+        def build(documents: pa.Array, found: _Found) -> pa.Array:
+            counts, nulls, start, end = found
             flat = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["start_idx", "end_idx"])
-            return _lists([len(s or ()) for s in found], flat, [s is None for s in found])
+            return _lists(counts, flat, nulls)
 
         return self._over(doc, SPAN, build, none)
 
@@ -188,21 +195,11 @@ class JsonPath:
             kind = F.when(F.substring(text, 1, 1).isin("{", "["), "complex").otherwise("atomic")
             return F.transform(self.spans(doc), lambda s: F.struct(F.lit(0).alias("seq"), s["start_idx"].alias("start_idx"), s["end_idx"].alias("end_idx"), kind.alias("kind"), text.alias("value")))
 
-        def build(documents: pa.Array, spans_of: Callable) -> pa.Array:
-            counts, nulls, seq, start, end, kind, value = [], [], [], [], [], [], []
-            for d in documents:
-                text = d.as_py()
-                raw = None if text is None else text.encode("utf-8", "surrogatepass")
-                found = None if raw is None else spans_of(raw)
-                nulls.append(found is None)
-                counts.append(len(found or ()))
-                seq += range(counts[-1])
-                for a, b in found or ():
-                    start.append(a)
-                    end.append(b)
-                    kind.append("complex" if raw[a] in (123, 91) else "atomic")
-                    value.append(raw[a:b].decode("utf-8", "replace"))
-            cols = [pa.array(seq, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(kind, pa.string()), pa.array(value, pa.string())]
+        def build(documents: pa.Array, found: _Found) -> pa.Array:
+            counts, nulls, start, end = found
+            seq = np.arange(len(start)) - np.repeat(np.cumsum(counts) - counts, counts)
+            kinds, value = texts_of(documents, counts, start, end)
+            cols = [pa.array(seq.astype(np.int32)), pa.array(start, pa.int64()), pa.array(end, pa.int64()), kinds, value]
             return _lists(counts, pa.StructArray.from_arrays(cols, ["seq", "start_idx", "end_idx", "kind", "value"]), nulls)
 
         return self._over(doc, NODE, build, none)
