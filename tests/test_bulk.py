@@ -87,6 +87,7 @@ def test_results_keep_their_documents_in_every_mode(spark):
     "query",
     [
         "$.lines[?@.n == 2 || !(@.p != 7 && @.p >= 50)].p",
+        "$[?@[?@.n == 4]][*].p",
     ],
 )
 def test_plain_documents_are_not_taken_alone(query):
