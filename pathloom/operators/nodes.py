@@ -3,7 +3,8 @@
 node(doc, node_id, parent_id, depth, key, idx, kind, start_idx, end_idx, last_desc_id): node_id counts in document order
 from 0, and the nodes inside a node are those up to last_desc_id. A descendant step is a running maximum of interval ends
 within the document. A child step compares a node's parent with the last selected node before it; after a descendant step
-selected nodes may be nested, and a window over the family takes its place.
+selected nodes may be nested, and a window over the family takes its place. Documents of plain JSON are shredded many at
+once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from functools import reduce
 from itertools import takewhile
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +23,27 @@ from pathloom.automaton import check_supported, statically_empty
 from pathloom.errors import JsonPathRuntimeError
 from pathloom.lang import parse
 from pathloom.lang.ast import Index, Name, Path, Selector, Slice, Wildcard
+from pathloom.operators.bulk import Nodes, chunks, shred_many, slices
 from pathloom.operators.scanner import shred
 
 _FIELDS = [("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("key", pa.string()), ("idx", pa.int32()), ("kind", pa.string()), ("start_idx", pa.int64()), ("end_idx", pa.int64()), ("last_desc_id", pa.int32()), ("value", pa.string())]
 
 
+def _columns(t: Nodes, bounds: np.ndarray) -> list[pa.Array]:
+    """The columns of _FIELDS."""
+    n, at = len(t), bounds[t.doc]
+    first = np.searchsorted(t.doc, t.doc)
+    has_key, child = t.key_end > 0, t.parent >= 0
+    in_list = child & t.is_list[t.parent]
+
+    def spread(some: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+        return slices(t.data, start[some], end[some]).take(pa.array(np.cumsum(some) - 1, mask=~some))
+
+    cols = [np.arange(n) - first, np.where(child, t.parent - first, -1), t.depth, spread(has_key, t.key_start, t.key_end), pa.array(t.rank.astype(np.int32), mask=~in_list)]
+    cols += [pa.array(["complex", "atomic"]).take(pa.array(t.atomic.astype(np.int8))), t.start - at, t.end - at, t.last - first, spread(t.atomic, t.start, t.end)]
+    return [c if isinstance(c, pa.Array) else pa.array(c.astype(k.to_pandas_dtype())) for c, (_, k) in zip(cols, _FIELDS, strict=True)]
+
+
 def node_table(docs: DataFrame, id_col: str, json_col: str, errors: str = "raise") -> DataFrame:
     """The nodes of all documents; id_col comes first, as doc. value is the text of atomic nodes, null for others.
 
@@ -33,28 +51,34 @@ def node_table(docs: DataFrame, id_col: str, json_col: str, errors: str = "raise
     """
     strict = errors == "raise"
 
+    def one(raw: bytes) -> list[tuple]:
+        try:
+            rows = shred(raw)
+        except JsonPathRuntimeError:
+            if strict:
+                raise
+            return []
+        full = []
+        for row in rows:
+            key, kind, a, b = row[3], row[5], row[6], row[7]
+            full.append((*row[:3], None if key is None else key.decode("utf-8", "replace"), *row[4:], raw[a:b].decode("utf-8", "replace") if kind == "atomic" else None))
+        return full
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, cols = [], [[] for _ in _FIELDS]
-            for i, text in enumerate(batch.column(1)):
-                if not text.is_valid:
-                    continue
-                raw = text.as_py().encode("utf-8", "surrogatepass")
-                try:
-                    rows = shred(raw)
-                except JsonPathRuntimeError:
-                    if strict:
-                        raise
-                    continue
-                owner += [i] * len(rows)
-                for row in rows:
-                    key, kind, a, b = row[3], row[5], row[6], row[7]
-                    full = (*row[:3], None if key is None else key.decode("utf-8", "replace"), *row[4:], raw[a:b].decode("utf-8", "replace") if kind == "atomic" else None)
-                    for col, v in zip(cols, full, strict=True):
-                        col.append(v)
-            ids = batch.column(0).take(pa.array(owner, pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS, strict=True))], ["doc", *(n for n, _ in _FIELDS)])
-
+            missing = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            for first, data, bounds in chunks(batch.column(1)):
+                nodes, plain = shred_many(data, bounds)
+                if nodes is not None:
+                    rows = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(nodes.doc + first)), *_columns(nodes, bounds)], names)
+                    yield rows.filter(pa.array(~missing[nodes.doc + first])) if missing.any() else rows
+                for d in np.flatnonzero(~plain & ~missing[first : first + len(plain)]):
+                    rows = one(data[bounds[d] : bounds[d + 1]].tobytes())
+                    if rows:
+                        cols = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _FIELDS, strict=True)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(rows), first + d))), *cols], names)
+
+    names = ["doc", *(n for n, _ in _FIELDS)]
     kinds = {pa.int32(): "int", pa.int64(): "bigint", pa.string(): "string"}
     ident = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, json_col).mapInArrow(run, f"doc {ident}, " + ", ".join(f"{n} {kinds[t]}" for n, t in _FIELDS))

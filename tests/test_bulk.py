@@ -11,6 +11,8 @@ from pathloom.errors import JsonPathRuntimeError
 from pathloom.functions import JsonPath
 from pathloom.lang import parse
 from pathloom.operators import bulk
+from pathloom.operators.nodes import _columns
+from pathloom.operators.scanner import shred
 from pathloom.operators.tree import Evaluator
 
 ORDER = '{"o":7,"c":20,"lines":[{"n":1,"p":3},{"n":2,"p":70},{"n":3,"p":7},{"n":4,"p":25}]}'
@@ -62,6 +64,23 @@ def _never(raw: bytes):
     raise AssertionError(f"{raw} was taken alone")
 
 
+@pytest.mark.parametrize("size", [1, 300, 1 << 20])
+def test_documents_are_shredded_as_by_the_scanner(monkeypatch, size):
+    monkeypatch.setattr(bulk, "BYTES", size)
+    texts, seen = _texts(size), 0
+    for first, data, bounds in bulk.chunks(pa.array(texts, pa.string())):
+        nodes, plain = bulk.shred_many(data, bounds)
+        got: dict[int, list] = {}
+        if nodes is not None:
+            for d, *row in zip(nodes.doc.tolist(), *(c.to_pylist() for c in _columns(nodes, bounds)), strict=True):
+                got.setdefault(d, []).append(tuple(row))
+        for d in np.flatnonzero(plain):
+            raw = texts[first + d].encode()
+            assert got[d] == [(*r[:3], r[3] and r[3].decode(), *r[4:], raw[r[6] : r[7]].decode() if r[5] == "atomic" else None) for r in shred(raw)]
+            seen += 1
+    assert seen > 40
+
+
 @pytest.mark.parametrize("query", ["$[-1].p", "$..[-1]", "$..[-3:-1]", "$..[3:0:-2]", "$..['a','b',0,-1,::2]", "$..[?@]", "$[?1==1]", "$..[?@==1]", "$..[?@.a==@.zz]", "$..a[?@.*]..b"])
 def test_masks_select_what_the_evaluator_does(query):
     texts = _texts(5, 150)
