@@ -108,6 +108,7 @@ def test_results_keep_their_documents_in_every_mode(spark):
         "$.lines[?@.n == 2 || !(@.p != 7 && @.p >= 50)].p",
         "$[?@[?@.n == 4]][*].p",
         "$.lines[?@.p > 100 || @.p > 10 && @.n <= 3].p",
+        "$.lines[-1].p",
     ],
 )
 def test_plain_documents_are_not_taken_alone(query):
