@@ -109,6 +109,7 @@ def test_results_keep_their_documents_in_every_mode(spark):
         "$[?@[?@.n == 4]][*].p",
         "$.lines[?@.p > 100 || @.p > 10 && @.n <= 3].p",
         "$.lines[-1].p",
+        "$.lines[?$.lines[3]].p",
     ],
 )
 def test_plain_documents_are_not_taken_alone(query):
