@@ -42,3 +42,13 @@ def test_steps_share_one_sort_of_the_candidates(spark, query):
     docs = spark.createDataFrame([(1, "{}")], "id int, json string")
     plan = select_nodes(node_table(docs, "id", "json"), query)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+
+
+def test_descendants_over_plain_and_other_documents_together(spark):
+    plain, other = '{"o":1,"lines":[{"n":1,"p":3},{"p":{"p":4}}]}', '{"o":"\\\\","lines":[{"p":3 4}]} x'
+    docs = spark.createDataFrame([(k, (plain, other, None)[k % 3]) for k in range(12)], "id int, json string").coalesce(1)
+    nodes, run = node_table(docs, "id", "json"), Evaluator(parse("$..lines..p"))
+    want = {(r.id, k, *span) for r in docs.collect() if r.json for k, span in enumerate(run.spans(r.json.encode()))}
+    assert {(r.doc, r.seq, r.start_idx, r.end_idx) for r in select_nodes(nodes, "$..lines..p").collect()} == want
+    plan = select_nodes(nodes, "$..lines..p")._jdf.queryExecution().optimizedPlan().toString()
+    assert "node_id#" in plan and "_step0" not in plan  # the first step is done as the nodes are read
