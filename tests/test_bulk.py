@@ -111,6 +111,7 @@ def test_results_keep_their_documents_in_every_mode(spark):
         "$.lines[-1].p",
         "$.lines[?$.lines[3]].p",
         "$.lines[3:0:-2].n",
+        "$.lines[?@.p < $.c].p",
     ],
 )
 def test_plain_documents_are_not_taken_alone(query):
