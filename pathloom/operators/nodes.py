@@ -115,10 +115,12 @@ def select_nodes(nodes: DataFrame, query: str | Path) -> DataFrame:
     wanted = [w & (F.col("depth") == k + 1) if k < fixed else w for k, w in enumerate(wanted)]
     steps = [f"_step{k}" for k in range(1, len(wanted))]
     kept = ["doc", "node_id", "parent_id", "last_desc_id", "start_idx", "end_idx", "kind"]
+    # a number keeps the parts from being merged again to one a core, whose sort would grow with the table
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one pass over the nodes and one exchange by document: each row carries which steps it would do for, and whether the
     # first one, which starts from the root, selects it
     first = wanted[0] if wanted else F.col("node_id") == 0
-    at = nodes.where(reduce(or_, wanted, first)).select(*kept, *(w.alias(n) for w, n in zip(wanted[1:], steps, strict=True)), first.alias("_in")).repartition("doc")
+    at = nodes.where(reduce(or_, wanted, first)).select(*kept, *(w.alias(n) for w, n in zip(wanted[1:], steps, strict=True)), first.alias("_in")).repartition(parts, "doc")
     before = "OVER (PARTITION BY doc ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     for k, (segment, step) in enumerate(zip(path.segments[1:], steps, strict=True), 1):
         if segment.descendant:

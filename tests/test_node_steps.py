@@ -52,3 +52,9 @@ def test_descendants_over_plain_and_other_documents_together(spark):
     assert {(r.doc, r.seq, r.start_idx, r.end_idx) for r in select_nodes(nodes, "$..lines..p").collect()} == want
     plan = select_nodes(nodes, "$..lines..p")._jdf.queryExecution().optimizedPlan().toString()
     assert "node_id#" in plan and "_step0" not in plan  # the first step is done as the nodes are read
+
+
+def test_parts_of_the_candidates_are_not_merged(spark):
+    docs = spark.createDataFrame([(k, '{"a":{"b":1}}') for k in range(50)], "id int, json string")
+    found = select_nodes(node_table(docs, "id", "json"), "$.a.b")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
